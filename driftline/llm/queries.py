@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, sharding
+from . import decontamination, exact_dedup, packing, sharding
 from .shared import table, text_or_empty
 
 SHARDS = 24
@@ -34,5 +34,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shard, op6_exact_dedup, op8_decontaminate)}
+def op9_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shard, op6_exact_dedup, op8_decontaminate, op9_lp_packing)}
 SQL = {"op6_exact_dedup": OP6_SQL}
