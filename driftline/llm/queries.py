@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, packing, sharding
+from . import decontamination, exact_dedup, packing, sharding, simhash
 from .shared import table, text_or_empty
 
 SHARDS = 24
@@ -18,6 +18,10 @@ def op1_hypergeometric_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, SHARDS).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op9_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shard, op6_exact_dedup, op8_decontaminate, op9_lp_packing)}
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shard, op5_simhash_gray, op6_exact_dedup, op8_decontaminate, op9_lp_packing)}
 SQL = {"op6_exact_dedup": OP6_SQL}
