@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, packing, sharding, simhash
-from .shared import table, text_or_empty
+from . import decontamination, exact_dedup, packing, sharding, simhash, toxicity
+from .shared import id_crc, table, text_or_empty
 
 SHARDS = 24
 
@@ -44,5 +44,13 @@ def op9_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shard, op5_simhash_gray, op6_exact_dedup, op8_decontaminate, op9_lp_packing)}
+def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = F.pmod(id_crc("doc_id"), F.lit(4)) != 2
+    model = toxicity.fit(docs.where(learn), labels.where(learn))
+    scored = toxicity.scores(docs, model)
+    return scored.select("doc_id", (F.pmod(id_crc("doc_id"), F.lit(4)) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shard, op5_simhash_gray, op6_exact_dedup, op8_decontaminate, op9_lp_packing, op10_subword_toxicity)}
 SQL = {"op6_exact_dedup": OP6_SQL}
