@@ -30,37 +30,16 @@ from .wordbpe import WordBpe
 CAPACITY = 2048
 #: Rows of one length that one task ranks.
 BLOCK_ROWS = 1 << 18
-#: Different words whose ids a worker keeps; beyond it the memory is emptied and filled anew.
-KEPT_WORDS = 500_000
 ROUNDS = 400
 PIECES = "_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-class WordIds(dict):
-    """Word (bytes without ASCII white space) -> its ids as little-endian bytes.
-
-    White space separates words for this tokenizer and is dropped, so a text's ids are its words' ids in a row. Words
-    not seen yet are encoded together before a chunk is looked up.
-    """
-
-    def __init__(self, path: str) -> None:
-        self.bpe = WordBpe(path)
-
-    def learn(self, new: list[bytes]) -> None:
-        if len(self) + len(new) > KEPT_WORDS:
-            self.clear()
-        self.update(zip(new, self.bpe.encode(new, KEPT_WORDS), strict=True))
-
-    def of(self, text_words: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, text_words))
-
-
-_vocabularies: dict[str, WordIds] = {}
+_vocabularies: dict[str, WordBpe] = {}
 
 
-def vocabulary(path: str) -> WordIds:
+def vocabulary(path: str) -> WordBpe:
     if path not in _vocabularies:
-        _vocabularies[path] = WordIds(path)
+        _vocabularies[path] = WordBpe(path)
     return _vocabularies[path]
 
 
@@ -74,15 +53,9 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, _, data, offs in lx.chunks(b.column(1), 2 << 20):
-                raw = data.tobytes()
-                texts = [raw[offs[d] : offs[d + 1]].split() for d in range(len(offs) - 1)]
-                ids.learn(list(set().union(*texts).difference(ids)))
-                for d, t in enumerate(texts):
-                    try:
-                        whole = ids.of(t) + end
-                    except KeyError:  # the memory was emptied on the way
-                        ids.learn(list(set(t).difference(ids)))
-                        whole = ids.of(t) + end
+                found, bounds = ids.encode(data, offs)
+                for d in range(len(offs) - 1):
+                    whole = found[bounds[d] : bounds[d + 1]].astype("<u4").tobytes() + end
                     for k, at in enumerate(range(0, len(whole), step)):
                         part = whole[at : at + step]
                         row.append(i + d)
