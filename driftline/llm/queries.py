@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, packing, sharding, simhash, substring_dedup, toxicity
+from . import decontamination, exact_dedup, langid, packing, sharding, simhash, substring_dedup, toxicity
 from .shared import id_crc, table, text_or_empty
 
 SHARDS = 24
@@ -37,6 +37,14 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(id_crc("doc_id"), F.lit(5))
+    model = langid.train(langid.sample(docs.where(fold != 0)))
+    out = langid.predictions(docs, model)
+    return out.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
@@ -88,5 +96,5 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN who USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shard, op2_recompression_dedup, op5_simhash_gray, op6_exact_dedup, op8_decontaminate, op9_lp_packing, op10_subword_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shard, op2_recompression_dedup, op3_ppm_language, op5_simhash_gray, op6_exact_dedup, op8_decontaminate, op9_lp_packing, op10_subword_toxicity)}
 SQL = {"op2_recompression_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL}
