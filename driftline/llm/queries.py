@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, langid, packing, sharding, simhash, substring_dedup, toxicity
+from . import decontamination, exact_dedup, html_extract, langid, license_scan, packing, sharding, simhash, substring_dedup, toxicity
 from .shared import id_crc, table, text_or_empty
 
 SHARDS = 24
@@ -45,6 +45,10 @@ def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,10 @@ FROM n
 """
 
 
+def op7_mss_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -96,5 +104,5 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN who USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_hypergeometric_shard, op2_recompression_dedup, op3_ppm_language, op5_simhash_gray, op6_exact_dedup, op8_decontaminate, op9_lp_packing, op10_subword_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_hypergeometric_shard, op2_recompression_dedup, op3_ppm_language, op4_license_rules, op5_simhash_gray, op6_exact_dedup, op7_mss_extract, op8_decontaminate, op9_lp_packing, op10_subword_toxicity)}
 SQL = {"op2_recompression_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL}
