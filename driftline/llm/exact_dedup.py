@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, local_rows, maybe_broadcast, text_or_empty
+from .shared import cut, keep_rows, local_rows, maybe_broadcast, text_or_empty
 
 #: Entries that a bucket may hold before its directory slot doubles.
 BUCKET_ROWS = 1 << 15
@@ -131,3 +131,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chained = again.join(firsts, ["_h", "_sha"]).select("_id", F.col("head.id").alias("_keep"), (F.col("head.e") == F.col("_e")).alias("kept"), F.col("size").alias("group_size"), "_sha")
         resolved = plain.unionByName(chained)
     return resolved.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose normalised text a row of smaller id has; all columns stay."""
+    found = duplicates(docs.select(id_col, text_col), id_col, text_col)
+    decisions = found.select(F.col(id_col).alias("_key_id"), F.col("text_sha256").alias("_key_text"), "kept")
+    return keep_rows(docs, {"_key_id": F.col(id_col), "_key_text": F.sha2(normalised(text_col), 256)}, decisions)

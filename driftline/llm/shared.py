@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,26 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Tables that cut() has written, for release().
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing will read again, and let Spark drop the shuffles behind them."""
+    for t in tables:
+        ref, path = _paths.pop(id(t), (None, None))
+        if ref is not None and ref() is t:
+            jvm = t.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -61,3 +82,34 @@ def local_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame
     text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
     kind = "array<struct<" + ",".join(":".join(part.split()) for part in schema.split(",")) + ">>"
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+
+
+def keep_rows(docs: DataFrame, keys: dict[str, Column], decisions: DataFrame) -> DataFrame:
+    """The rows of docs that decisions keep, with docs' columns.
+
+    keys: name -> expression over docs; decisions: the same names and a boolean `kept`, one row for each row of docs.
+    Of rows that agree on all keys one stays if any of them is kept. Only keys that go are joined, and broadcast only
+    when their counted size is small.
+    """
+    names = list(keys)
+    by_key = cut(decisions.groupBy(*names).agg(F.max("kept").alias("_any"), F.count("*").alias("_n")).where("not _any or _n > 1"))
+    sizes = {r["_any"]: r["count"] for r in by_key.groupBy("_any").count().collect()}
+    out = docs.withColumns(keys)
+
+    def match(side: DataFrame) -> Column:
+        cond = F.lit(True)
+        for n in names:
+            cond = cond & out[n].eqNullSafe(side[n])
+        return cond
+
+    repeated = by_key.where("_any").select(*[F.col(n).alias(f"{n}_r") for n in names])
+    if sizes.get(False):
+        gone = by_key.where("not _any").select(*names)
+        out = out.join(maybe_broadcast(gone, sizes[False], 64), match(gone), "left_anti")
+    if sizes.get(True):
+        same = F.lit(True)
+        for n in names:
+            same = same & F.col(n).eqNullSafe(F.col(f"{n}_r"))
+        many = maybe_broadcast(repeated, sizes[True], 64)
+        out = out.join(many, same, "left_anti").unionByName(out.join(many, same, "left_semi").dropDuplicates(names))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
