@@ -6,12 +6,15 @@ symbols alone, so a name means the same everywhere and a round needs no exchange
 of words around it, its context; wherever these words stand, the same symbol stands.
 
 Each window of `window` words elects one symbol whose context it holds: of the highest round, then of least name.
-Equal windows elect the same name at the same place. So a window can repeat only if its name occurs twice:
+Equal windows elect the same symbol at the same place, and with it the CONTEXT words from its context's first on,
+which the window holds too. So a window can repeat only if that symbol, named with these words, occurs twice:
 
-1. elected symbols (name, document, range of windows) go through one count by name; names seen once end there;
-2. windows under shared names are hashed (96 bits, from two independent word hashes) and counted: these are the
-   repeats themselves, verified whole;
-3. repeated windows come back as positions by document, and each document is cut in one pass.
+1. elected symbols, each with the range of windows that elected it, go through one count by name; names seen once end
+   there. The words under such a range are its span. A span that stands in two places repeats as a whole: passages
+   copied many times are settled here, a row a symbol;
+2. where one name has different spans, the windows of one place of each span are hashed (96 bits, from two independent
+   word hashes) and counted: these are the repeats that end inside a span, verified whole;
+3. repeated windows come back as ranges by document, and each document is cut in one pass.
 
 Counts are combined before their shuffles. What comes back to documents is a join by document, broadcast only when
 its counted size is small.
@@ -27,15 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexing as lx
-from .shared import cut, maybe_broadcast
+from .shared import cut, maybe_broadcast, release
 
 WINDOW = 35
-ROUNDS, CONTEXT = 3, 14
+ROUNDS, CONTEXT = 3, 12
 _FAR = 1 << 40
 
 
-def elected(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, first windows, windows after the last): one row for each elected symbol of a chunk, windows by start."""
+def elected(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, spans, first windows, windows after the last): one row for each elected symbol of a chunk, windows by
+    start; a span is a hash of the words under the windows and of the symbol's place among them."""
     n = len(h)
     context = min(CONTEXT, max(1, window // 2))
     name, lo, hi = h.copy(), np.arange(n), np.arange(n) + 1
@@ -87,7 +91,7 @@ def elected(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np
     width, at = window - context + 1, lx.window_starts(bounds, window)
     if not len(at):
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), z, z
     span, low = 1, packed
     while 2 * span <= width:
         low = np.minimum(low[: len(low) - span], low[span:])
@@ -98,11 +102,15 @@ def elected(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np
     edge[1:] = (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(edge)
     stop = np.append(first[1:], len(at))
-    return lx._mix(full[chosen[first]] ^ (level[chosen[first]] << np.uint64(60))), at[first], at[stop - 1] + 1
+    own = chosen[first]
+    win, lo, hi = lx.Windows(h), at[first], at[stop - 1] + 1
+    names = lx._mix(full[own] ^ win.at(own, context) ^ (level[own] << np.uint64(60)))
+    spans = lx._mix(win.at(lo, hi - lo + window - 1) ^ (own - lo).astype(np.uint64) * lx.M2)
+    return names, spans, lo, hi
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumns({"_k": F.xxhash64("_id", "_t"), "_k2": F.xxhash64(F.lit(1), "_t", "_id")})
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumns({"_k": F.xxhash64("_id", "_t"), "_k2": F.hash(F.lit(1), "_t", "_id")})
 
 
 def _parse(data: np.ndarray, offs: np.ndarray):
@@ -118,73 +126,92 @@ def _elect(window: int):
                 starts, ends, bounds = _parse(data, offs)
                 if bounds[-1] < window:
                     continue
-                name, lo, hi = elected(lx.word_hashes(data, starts, ends), bounds, window)
+                name, span, lo, hi = elected(lx.word_hashes(data, starts, ends), bounds, window)
                 d = np.searchsorted(bounds, lo, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(k[i + d]), pa.array(k2[i + d]), pa.array((lo - bounds[d]).astype(np.int32)), pa.array((hi - bounds[d]).astype(np.int32))], names=["name", "_k", "_k2", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(span.view(np.int64)), pa.array(k[i + d]), pa.array(k2[i + d]), pa.array((lo - bounds[d]).astype(np.int32)), pa.array((hi - bounds[d]).astype(np.int32))], names=["name", "span", "_k", "_k2", "lo", "hi"])
 
     return run
 
 
-def _inside(ranges, n: int, window: int) -> np.ndarray:
-    """Window starts in any of the (lo, hi) ranges."""
-    a = np.array([(r["lo"], r["hi"]) for r in ranges], np.int64).reshape(-1, 2)
-    return np.flatnonzero(lx.covered(max(0, n - window + 1), np.minimum(a[:, 0], n - window + 1), np.minimum(a[:, 1], n - window + 1)))
-
-
 def _hash_windows(window: int):
     def run(batches):
         for b in batches:
-            doc = b.column(0).to_numpy(zero_copy_only=False)
-            ranges = b.column(2)
+            k, k2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ranges = b.column(3)
             flat = ranges.flatten()
-            lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+            lo, hi, alone = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "alone"))
             cuts = np.asarray(ranges.offsets) - ranges.offsets[0].as_py()
-            for i, j, data, offs in lx.chunks(b.column(1)):
+            for i, j, data, offs in lx.chunks(b.column(2)):
                 starts, ends, bounds = _parse(data, offs)
-                if bounds[-1] < window:
-                    continue
                 own = np.arange(cuts[i], cuts[j])
-                base = np.repeat(bounds[:-1], np.diff(cuts[i : j + 1]))
-                at = np.flatnonzero(lx.covered(int(bounds[-1]), base + lo[own], base + hi[own]))
+                size = hi[own] - lo[own]
+                at = np.repeat(np.repeat(bounds[:-1], np.diff(cuts[i : j + 1])) + lo[own], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
                 one, two = (lx.Windows(lx.word_hashes(data, starts, ends, seed)).at(at, window) for seed in (0, 1))
                 d = np.searchsorted(bounds, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc[i + d]), pa.array((at - bounds[d]).astype(np.int32))], names=["w", "w2", "d", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(k[i + d]), pa.array(k2[i + d]), pa.array((at - bounds[d]).astype(np.int32)), pa.array(np.repeat(alone[own], size))], names=["w", "w2", "_k", "_k2", "at", "alone"])
 
     return run
 
 
+def _merge_ranges(batches):
+    for b in batches:
+        merged = []
+        for ranges in b.column(2).to_pylist():
+            out: list[dict] = []
+            for r in sorted(ranges, key=lambda r: r["lo"]):
+                if out and r["lo"] <= out[-1]["hi"]:
+                    out[-1]["hi"] = max(out[-1]["hi"], r["hi"])
+                else:
+                    out.append({"lo": r["lo"], "hi": r["hi"]})
+            merged.append(out)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(merged, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], names=["_k", "_k2", "ranges"])
+
+
+def _by_document(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
+    """docs with their ranges; these are broadcast if the counted size is small."""
+    size = ranges.agg(F.count("*"), F.sum(F.size("ranges"))).first()
+    return docs.join(maybe_broadcast(ranges, 1, 64 * size[0] + 24 * (size[1] or 0)), ["_k", "_k2"], how)
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(_k, _k2, at): for each document with repeated windows its document key and their first words' places."""
+    """(_k, _k2, ranges): for each document with repeated windows its key and the ranges (lo, hi) of their first words."""
     base = _keys(docs, id_col, text_col)
-    marks = cut(base.select("_k", "_k2", "_t").mapInArrow(_elect(window), "name bigint, _k bigint, _k2 bigint, lo int, hi int"))
-    shared = marks.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    ranges = marks.join(shared, "name").groupBy("_k", "_k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    ranges = cut(ranges.withColumn("d", F.monotonically_increasing_id()))
-    size = ranges.agg(F.count("*"), F.sum(F.size("ranges"))).first()
-    found = base.select("_k", "_k2", "_t").join(maybe_broadcast(ranges, 1, 60 * size[0] + 16 * (size[1] or 0)), ["_k", "_k2"]).select("d", "_t", "ranges").mapInArrow(_hash_windows(window), "w bigint, w2 int, d bigint, at int")
-    found = cut(found)
-    twice = found.groupBy("w", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w", "w2")
-    back = found.join(twice, ["w", "w2"]).groupBy("d").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    return cut(back.join(ranges.select("d", "_k", "_k2"), "d").select("_k", "_k2", "at"))
+    marks = cut(base.select("_k", "_k2", "_t").mapInArrow(_elect(window), "name bigint, span bigint, _k bigint, _k2 int, lo int, hi int"))
+    shared = cut(marks.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
+    held = cut(marks.join(maybe_broadcast(shared, shared.count(), 24), "name"))
+    release(marks, shared)
+    spans = cut(held.groupBy("name", "span").agg(F.count("*").alias("n"), F.min(F.struct("_k", "_k2", "lo", "hi")).alias("one")))
+    whole = held.join(spans.where("n > 1").select("name", "span"), ["name", "span"]).select("_k", "_k2", "lo", "hi")
+    several = spans.groupBy("name").agg(F.count("*").alias("m")).where("m > 1").select("name")
+    apart = spans.join(several, "name").select("one.*", (F.col("n") == 1).alias("alone"))
+    places = cut(apart.groupBy("_k", "_k2").agg(F.collect_list(F.struct("lo", "hi", "alone")).alias("ranges")))
+    found = cut(_by_document(base, places, "inner").select("_k", "_k2", "_t", "ranges").mapInArrow(_hash_windows(window), "w bigint, w2 int, _k bigint, _k2 int, at int, alone boolean"))
+    release(places)
+    twice = cut(found.groupBy("w", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w", "w2"))
+    parts = found.where("alone").join(maybe_broadcast(twice, twice.count(), 40), ["w", "w2"]).select("_k", "_k2", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    out = cut(whole.union(parts).groupBy("_k", "_k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).mapInArrow(_merge_ranges, "_k bigint, _k2 int, ranges array<struct<lo: int, hi: int>>"))
+    release(held, spans, found, twice)
+    return out
 
 
 def _cut_texts(window: int, keep_text: bool):
     def run(batches):
         for b in batches:
-            at = b.column(2)
-            flat = at.flatten().to_numpy(zero_copy_only=False)
-            size = np.diff(np.asarray(at.offsets))
-            if at.null_count:
-                size = np.where(np.asarray(at.is_null()), 0, size)
+            ranges = b.column(2)
+            flat = ranges.flatten()
+            lo, hi = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi"))
+            size = np.diff(np.asarray(ranges.offsets))
+            if ranges.null_count:
+                size = np.where(np.asarray(ranges.is_null()), 0, size)
             cuts = np.concatenate([[0], np.cumsum(size)])
             n_words, n_removed, sha, kept_text = [], [], [], []
             for i, j, data, offs in lx.chunks(b.column(1)):
                 raw = data.tobytes()
                 for d in range(j - i):
                     found = raw[offs[d] : offs[d + 1]].split()
-                    own = flat[cuts[i + d] : cuts[i + d + 1]].astype(np.int64)
-                    if len(own):
-                        gone = lx.covered(len(found), own, np.minimum(own + window, len(found)))
+                    own = slice(cuts[i + d], cuts[i + d + 1])
+                    if size[i + d]:
+                        gone = lx.covered(len(found), lo[own], hi[own] + window - 1)
                         kept = [w for w, g in zip(found, gone.tolist(), strict=True) if not g]
                     else:
                         kept = found
@@ -209,8 +236,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """
     base = _keys(docs, id_col, text_col)
     found = repeats(docs, id_col, text_col, window)
-    size = found.agg(F.count("*"), F.sum(F.size("at"))).first()
-    joined = base.join(maybe_broadcast(found, 1, 60 * size[0] + 4 * (size[1] or 0)), ["_k", "_k2"], "left").select("_id", "_t", "at")
+    joined = _by_document(base, found, "left").select("_id", "_t", "ranges")
     kind = docs.schema[id_col].dataType.simpleString()
     more = ", text string" if keep_text else ""
     return joined.mapInArrow(_cut_texts(window, keep_text), f"_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string{more}").withColumnRenamed("_id", id_col)
