@@ -366,9 +366,9 @@ def minmax_normalize(spark, sf_dir):
     return preprocess.min_max(df, ["l_quantity", "l_extendedprice"], {"l_quantity": 25.0}).select("l_orderkey", "l_linenumber", r6("l_quantity"), r6("l_extendedprice"))
 
 
-@query("SELECT 'l_quantity' AS field, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem UNION ALL SELECT 'l_discount', min(l_discount), max(l_discount) FROM lineitem")
+@query("SELECT 'l_quantity' AS field, min(l_quantity) + 0.0 AS min, max(l_quantity) + 0.0 AS max FROM lineitem UNION ALL SELECT 'l_discount', min(l_discount) + 0.0, max(l_discount) + 0.0 FROM lineitem")
 def field_extremes(spark, sf_dir):
-    return preprocess.extremes(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"])
+    return preprocess.extremes(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"]).select("field", (F.col("min") + 0.0).alias("min"), (F.col("max") + 0.0).alias("max"))
 
 
 @query("SELECT event_id, round(least(value, 65) / 65, 6) AS scaled FROM events")
@@ -525,3 +525,23 @@ def label_codec(spark, sf_dir):
 def clean_labels(spark, sf_dir):
     i = F.col("event_id") % 4
     return read(spark, sf_dir, "events").select("event_id", labels.cleaned(F.when(i == 0, "Unk").when(i == 1, "C A").when(i == 2, "ExtNov 7").otherwise("N x")).alias("label"))
+
+
+# ---- a stream of the size of the workload that the engine was made for
+
+
+def lineitem_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as examples of eight features in [0, 1], with the return flag as class."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    f = [F.col("l_quantity") / 50, F.least(F.col("l_extendedprice"), F.lit(1e5)) / 1e5, F.col("l_discount") * 10, F.col("l_tax") * 12.5, F.col("l_linenumber") / 7, F.greatest(day, F.lit(0)) / 2600, (F.col("l_partkey") % 97) / 97, (F.col("l_suppkey") % 89) / 89]
+    return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("label"), F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in f]).alias("val"))
+
+
+LINE_PARAMS = Params(k=20, max_iterations=8, radius_f=0.02, min_examples=20)
+
+
+@query()
+def online_lineitem(spark, sf_dir):
+    e = lineitem_examples(spark, sf_dir)
+    model = training.fit(e.where("label <> 'R'"), LINE_PARAMS)
+    return novelty.replay(e, model, LINE_PARAMS).where("kind = 'match'").groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
