@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import lexing as lx
 from .shared import cut
-from .wordbpe import WordBpe
+from .wordbpe import Tables, WordBpe
 
 CAPACITY = 2048
 #: Rows of one length that one task ranks.
@@ -34,25 +34,23 @@ ROUNDS = 400
 PIECES = "_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-_vocabularies: dict[str, WordBpe] = {}
-
-
-def vocabulary(path: str) -> WordBpe:
-    if path not in _vocabularies:
-        _vocabularies[path] = WordBpe(path)
-    return _vocabularies[path]
+#: Encoders of this worker by tokenizer path; the tables behind them are broadcast.
+_encoders: dict[str, WordBpe] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(_id, piece, start, length, ids_crc32) of every document: its ids and then end_id, cut after each `capacity`."""
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
+    sent = docs.sparkSession.sparkContext.broadcast(Tables(tokenizer))
 
     def split(batches):
-        ids = vocabulary(tokenizer)
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = WordBpe(sent.value)
+        ids = _encoders[tokenizer]
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, _, data, offs in lx.chunks(b.column(1), 2 << 20):
+            for i, _, data, offs in lx.chunks(b.column(1), 1 << 20):
                 found, bounds = ids.encode(data, offs)
                 for d in range(len(offs) - 1):
                     whole = found[bounds[d] : bounds[d + 1]].astype("<u4").tobytes() + end
@@ -66,7 +64,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(split, PIECES.format(id=kind))
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(lx.trimmed(split), PIECES.format(id=kind))
 
 
 def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:

@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["_id", "_fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(make, f"_id {kind}, _fp bigint")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(lx.trimmed(make), f"_id {kind}, _fp bigint")
 
 
 def masks(n: int, k: int = BITS, group_rows: int = GROUP_ROWS) -> list[int]:
@@ -258,7 +258,7 @@ def links(different: DataFrame, n: int, k: int = BITS, group_rows: int = GROUP_R
         if held:
             yield from run(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return dealt.mapInArrow(join, "a bigint, b bigint")
+    return dealt.mapInArrow(lx.trimmed(join), "a bigint, b bigint")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, k: int = BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -368,7 +368,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 d, fp = chunk_samples(data, offs, shingle)
                 yield pa.RecordBatch.from_arrays([pa.array(node[i + d]), pa.array(fp.view(np.int64))], names=["_node", "_fp"])
 
-    samples = cut(keyed.select("_node", "_t").mapInArrow(run, "_node bigint, _fp bigint").distinct())
+    samples = cut(keyed.select("_node", "_t").mapInArrow(lx.trimmed(run), "_node bigint, _fp bigint").distinct())
     different = cut(samples.groupBy("_fp").agg(F.count("*").alias("_n")))
     same = components(links(different.select("_fp"), different.count(), SAMPLE_BITS)).select(F.col("a").alias("_fp"), F.col("b").alias("_class"))
     classed = samples.join(same, "_fp", "left").select("_node", F.coalesce("_class", "_fp").alias("_class"))
@@ -378,7 +378,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = cut(pairs.select("_node").union(pairs.select("_hub")).distinct())
     texts = cut(keyed.select("_node", "_t").join(maybe_broadcast(ends, ends.count(), 24), "_node").dropDuplicates(["_node"]))
     both = pairs.join(texts, "_node").join(texts.select(F.col("_node").alias("_hub"), F.col("_t").alias("_h")), "_hub").select("_node", "_hub", "_t", "_h")
-    groups = components(both.mapInArrow(_similar(shingle, similarity), "a bigint, b bigint")).select(F.col("a").alias("_node"), F.col("b").alias("_root"))
+    groups = components(both.mapInArrow(lx.trimmed(_similar(shingle, similarity)), "a bigint, b bigint")).select(F.col("a").alias("_node"), F.col("b").alias("_root"))
     release(pairs, ends, texts)
     rooted = cut(keyed.drop("_t").join(maybe_broadcast(groups, groups.count(), 40), "_node", "left").withColumn("_root", F.coalesce("_root", "_node")))
     first = rooted.groupBy("_root").agg(F.min(F.struct(F.col("_key_id").isNull().alias("n"), F.col("_key_id").alias("id"), F.col("_node").alias("node"))).alias("first"), F.count("*").alias("_n")).where("_n > 1").select("_root", F.col("first.node").alias("_first"))

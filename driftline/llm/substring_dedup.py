@@ -176,7 +176,7 @@ def _by_document(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(_k, _k2, ranges): for each document with repeated windows its key and the ranges (lo, hi) of their first words."""
     base = _keys(docs, id_col, text_col)
-    marks = cut(base.select("_k", "_k2", "_t").mapInArrow(_elect(window), "name bigint, span bigint, _k bigint, _k2 int, lo int, hi int"))
+    marks = cut(base.select("_k", "_k2", "_t").mapInArrow(lx.trimmed(_elect(window)), "name bigint, span bigint, _k bigint, _k2 int, lo int, hi int"))
     shared = cut(marks.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     held = cut(marks.join(maybe_broadcast(shared, shared.count(), 24), "name"))
     release(marks, shared)
@@ -185,7 +185,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     several = spans.groupBy("name").agg(F.count("*").alias("m")).where("m > 1").select("name")
     apart = spans.join(several, "name").select("one.*", (F.col("n") == 1).alias("alone"))
     places = cut(apart.groupBy("_k", "_k2").agg(F.collect_list(F.struct("lo", "hi", "alone")).alias("ranges")))
-    found = cut(_by_document(base, places, "inner").select("_k", "_k2", "_t", "ranges").mapInArrow(_hash_windows(window), "w bigint, w2 int, _k bigint, _k2 int, at int, alone boolean"))
+    found = cut(_by_document(base, places, "inner").select("_k", "_k2", "_t", "ranges").mapInArrow(lx.trimmed(_hash_windows(window)), "w bigint, w2 int, _k bigint, _k2 int, at int, alone boolean"))
     release(places)
     twice = cut(found.groupBy("w", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w", "w2"))
     parts = found.where("alone").join(maybe_broadcast(twice, twice.count(), 40), ["w", "w2"]).select("_k", "_k2", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
@@ -239,4 +239,4 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     joined = _by_document(base, found, "left").select("_id", "_t", "ranges")
     kind = docs.schema[id_col].dataType.simpleString()
     more = ", text string" if keep_text else ""
-    return joined.mapInArrow(_cut_texts(window, keep_text), f"_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string{more}").withColumnRenamed("_id", id_col)
+    return joined.mapInArrow(lx.trimmed(_cut_texts(window, keep_text)), f"_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string{more}").withColumnRenamed("_id", id_col)

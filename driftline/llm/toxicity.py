@@ -23,6 +23,8 @@ SIZES = (3, 4, 5, 6)
 MAX_EACH = 2500
 EPOCHS, BATCH, RATE, DECAY = 6, 50, 0.02, 1e-5
 SHARPNESS = 30.0
+#: Bytes of text scored at once: the n-grams of its words take some forty times as much.
+CHUNK_BYTES = 1 << 19
 
 
 def buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,11 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> tuple[np.ndarra
             docs.append(np.unique(ids[place[bounds[d] : bounds[d + 1]]], return_counts=True))
     joined = np.frombuffer(b"".join(vocabulary), np.uint8)
     length = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-    grams, gram_bounds = buckets(joined, np.cumsum(length) - length, np.cumsum(length))
+    stop = np.cumsum(length)
+    parts = [buckets(joined, stop[i : i + 20_000] - length[i : i + 20_000], stop[i : i + 20_000]) for i in range(0, len(length), 20_000)]
+    grams = np.concatenate([g.astype(np.int32) for g, _ in parts])
+    gram_bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
+    del parts, vocabulary, joined
     vectors = rng.normal(0, 0.05, (1 << BITS, DIM)).astype(np.float32)
     weights, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     m1, m2 = np.zeros_like(vectors), np.zeros_like(vectors)
@@ -159,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on the sample; the two labels' shares among all labelled rows set the prior that the bias carries."""
     texts, y = sample(docs, labels, id_col, text_col, label_col, max_each)
     margin, bias = train(texts, y)
+    lx.trim()
     if len(y) and 0 < y.sum() < len(y):
         share = labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
         bias += float(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
@@ -172,11 +179,11 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
 
     def run(batches):
         for b in batches:
-            found = [chunk_scores(sent.value, data, offs) for _, _, data, offs in lx.chunks(b.column(1))]
+            found = [chunk_scores(sent.value, data, offs) for _, _, data, offs in lx.chunks(b.column(1), CHUNK_BYTES)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(found) if found else np.zeros(0))], names=["_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(lx.trimmed(run), f"_id {kind}, score double").withColumnRenamed("_id", id_col)
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -185,7 +192,7 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "
 
     def run(batches):
         for b in batches:
-            found = [chunk_scores(sent.value, data, offs) for _, _, data, offs in lx.chunks(b.column(where))]
+            found = [chunk_scores(sent.value, data, offs) for _, _, data, offs in lx.chunks(b.column(where), CHUNK_BYTES)]
             yield b.filter(pa.array(np.concatenate(found) < threshold if found else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lx.trimmed(run), docs.schema)

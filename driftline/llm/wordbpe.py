@@ -17,7 +17,7 @@ import numpy as np
 from . import lexing as lx
 
 #: Parts a worker remembers; beyond it the memory is emptied.
-KEPT_PARTS = 1_500_000
+KEPT_PARTS = 500_000
 #: Longer parts are given to the library.
 LONG_PART = 64
 _SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
@@ -71,16 +71,14 @@ def _byte_symbols() -> list[str]:
     return out
 
 
-class WordBpe:
-    """Ids of texts for a tokenizer file of the word-end kind: lower case, white space dropped, one pattern of parts."""
+class Tables:
+    """What a tokenizer file of the word-end kind says - lower case, white space dropped, one pattern of parts - in a few
+    arrays. The driver reads the file once and broadcasts them."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path).encode_batch
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            self.text = f.read()
+        spec = json.loads(self.text)
         model, end = spec["model"], spec["model"].get("end_of_word_suffix")
         kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = next((p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
@@ -91,8 +89,27 @@ class WordBpe:
             self.last = np.array([vocab[s + end] for s in symbols], np.uint64)
             merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
             self.pairs = PairRanks({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)})
+
+
+class WordBpe:
+    """Ids of texts, with a memory of the parts met so far."""
+
+    def __init__(self, tables: Tables) -> None:
+        self.tables, self.fast = tables, tables.fast
+        if self.fast:
+            self.inner, self.last, self.pairs = tables.inner, tables.last, tables.pairs
+        self._library = None
         self.forget()
 
+    def library(self, texts: list[str], **options):
+        """The tokenizers library's own encoding; it is loaded when a word first needs it."""
+        if self._library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.tables.text)
+        return self._library.encode_batch(texts, **options)
+
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
