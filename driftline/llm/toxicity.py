@@ -23,6 +23,8 @@ SIZES = (3, 4, 5, 6)
 MAX_EACH = 2500
 EPOCHS, BATCH, RATE, DECAY = 6, 50, 0.02, 1e-5
 SHARPNESS = 30.0
+#: Neutral words that every document is averaged with, so that a few words alone do not decide.
+NEUTRAL = 30
 #: Bytes of text scored at once: the n-grams of its words take some forty times as much.
 CHUNK_BYTES = 1 << 19
 
@@ -107,7 +109,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> tuple[np.ndarra
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
             tokens = np.concatenate([docs[d][0] for d in own])
-            share = np.concatenate([docs[d][1] / max(1, docs[d][1].sum()) for d in own]).astype(np.float32)
+            share = np.concatenate([docs[d][1] / (NEUTRAL + docs[d][1].sum()) for d in own]).astype(np.float32)
             owner = np.repeat(np.arange(len(own)), [len(docs[d][0]) for d in own])
             words, place = np.unique(tokens, return_inverse=True)
             count = gram_bounds[words + 1] - gram_bounds[words]
@@ -148,7 +150,8 @@ def chunk_scores(model: tuple[np.ndarray, float], data: np.ndarray, offs: np.nda
     margin, bias = model
     grams, gram_bounds, place, bounds = bag(data, offs)
     word = _means(margin[grams], gram_bounds) if len(gram_bounds) > 1 else np.zeros(0, np.float32)
-    x = _means(word[place].astype(np.float64), bounds).astype(np.float64) + bias
+    n = np.diff(bounds)
+    x = _means(word[place].astype(np.float64), bounds) * (n / (n + NEUTRAL)) + bias
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
