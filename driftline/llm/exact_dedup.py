@@ -58,7 +58,7 @@ def directory(index: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[list[tu
         if not full:
             return leaves, chains
         rows = index.join(F.broadcast(local_rows(spark, "s long", full)), _slot(depth) == F.col("s"), "left_semi")
-        depth = min(depth + STEP_BITS, 63)
+        depth = min(depth + STEP_BITS, 64)
 
 
 def owners(leaves: list[tuple[int, int, int]], bucket_rows: int = BUCKET_ROWS) -> tuple[int, list[tuple[int, int]]]:

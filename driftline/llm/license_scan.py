@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: A text without any of these has no licence sentence: each known sentence holds one.
 HINTS = re.compile(rb"licen[sc]|permi|redistribut|warrant|copyright|as[ -]is|endorse|public domain|spdx|cc0|liab", re.I)
-_BREAK = re.compile(r"(?<=[.!?:;])\s+|\n+")
+_BREAK = re.compile(r"(?<=[.!?;])\s+|\n+")
 _NOISE = re.compile(r"[^a-z0-9]+")
 
 # Known sentences (identifier, pattern over the normalised sentence).

@@ -1,0 +1,486 @@
+import random
+from collections import Counter
+
+import numpy as np
+import plain
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from driftline.llm import components, decontamination, exact_dedup, html_extract, langid, license_scan, packing, sharding, simhash, substring_dedup, toxicity
+from driftline.llm import lexing as lx
+from driftline.llm.wordbpe import Tables, WordBpe
+
+R = random.Random(11)
+VOCAB = [f"w{i}" for i in range(300)] + ["Ünï", "日本", "A.B", "the", "The"]
+LONG = " ".join(R.choice(VOCAB) for _ in range(30_000))
+PASSAGES = [[R.choice(VOCAB) for _ in range(n)] for n in (20, 36, 45, 80, 200)]
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def corpus(n=120):
+    rows = []
+    for i in range(n):
+        w = [R.choice(VOCAB) for _ in range(R.randint(0, 60))]
+        for _ in range(R.randint(0, 2)):
+            at = R.randint(0, len(w))
+            w[at:at] = R.choice(PASSAGES)
+        rows.append((i, R.choice([" ", "\n", "  ", "\t"]).join(w)))
+    rows += [(n + k, rows[k % 7][1].replace(" ", "\n")) for k in range(20)]  # copies but for white space
+    rows += [(300 + k, rows[30][1] + f" end{k}") for k in range(15)]
+    rows += [(500, None), (501, ""), (502, " \n\t"), (503, "x"), (504, "x"), (None, "lost id"), (None, None), (7, rows[3][1]), (7, rows[3][1]), (600, LONG), (601, "a " * 400), (602, "a " * 90 + "b")]
+    return rows
+
+
+ROWS = corpus()
+
+
+def table(spark, rows=ROWS, extra=True):
+    """Rows with columns whose names the operators use themselves."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    names = ("kept", "score", "shard", "slot", "size", "_id", "lang", "n_words", "_fp", "label", "a", "b")
+    return df.withColumns({c: F.lit("z") for c in names}) if extra else df
+
+
+def out(df, *cols):
+    return sorted(str(tuple(r)) for r in df.select(*cols).collect())
+
+
+def strings(rows):
+    return sorted(str(tuple(r)) for r in rows)
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+# ---- 1
+
+
+def test_shards_are_exact_and_gapless(spark):
+    df = spark.range(1000).repartition(7).withColumns({"shard": F.lit("old"), "text": F.lit(None).cast("string")})
+    rows = sharding.shard(df, 24, block_rows=9).collect()
+    assert sorted(r["id"] for r in rows) == list(range(1000))
+    sizes = Counter(r["shard"] for r in rows)
+    assert set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for s in sizes:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s]))
+    assert sharding.shard(spark.range(0).repartition(3), 5).count() == 0
+    assert sharding.shard(spark.range(2), 5).count() == 2
+
+
+def test_matrix_rows_add_up():
+    sizes, cap = np.array([5, 0, 17, 3, 25, 1]), np.array([10, 10, 11, 20])
+    for seed in range(20):
+        m = np.array([sharding.matrix_row(sizes, cap, p, seed) for p in range(len(sizes))])
+        assert (m.sum(axis=1) == sizes).all() and (m.sum(axis=0) == cap).all() and (m >= 0).all()
+
+
+def test_matrix_is_hypergeometric():
+    sizes, cap = np.array([6, 6]), np.array([6, 6])
+    first = Counter(int(sharding.matrix_row(sizes, cap, 0, seed)[0]) for seed in range(4000))
+    want = {k: v / 924 for k, v in zip(range(7), (1, 36, 225, 400, 225, 36, 1), strict=True)}
+    assert all(abs(first[k] / 4000 - want[k]) < 0.03 for k in want)
+    rng = np.random.default_rng(0)
+    big = [sharding.draw(rng, 3_000_000_000, 1_000_000_000, 1_000_000) for _ in range(50)]
+    assert abs(np.mean(big) - 750_000) < 300 and np.std(big) < 1000
+
+
+# ---- 2
+
+
+@pytest.mark.parametrize("window", [35, 8, 1])
+def test_repeats(spark, window):
+    got = substring_dedup.removed(table(spark), window=window)
+    assert out(got, "doc_id", "n_words", "n_removed", "kept_sha256") == strings(plain.repeats(ROWS, window))
+
+
+def test_repeats_in_few_words(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(50):
+        w = []
+        while len(w) < r.randint(1, 150):
+            k = r.random()
+            w += [r.choice("ab")] * r.randint(1, 70) if k < 0.4 else ["a", "b"] * r.randint(1, 40) if k < 0.6 else [r.choice("abc") for _ in range(r.randint(1, 50))]
+        rows.append((i, " ".join(w)))
+    got = substring_dedup.removed(table(spark, rows))
+    assert out(got, "doc_id", "n_words", "n_removed", "kept_sha256") == strings(plain.repeats(rows, 35))
+    assert substring_dedup.removed(empty(spark)).count() == 0
+
+
+def test_kept_text(spark):
+    p = " ".join(f"q{i}" for i in range(40))
+    rows = substring_dedup.removed(table(spark, [(1, f"one {p} two"), (2, p), (3, "three")]), keep_text=True).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == {1: "one two", 2: "", 3: "three"}
+
+
+# ---- 3
+
+
+LANGS = {"en": "the and of that with tion ing is was for", "de": "der die und ein sch ung lich keit für über", "fr": "le la les des que été être eau ment où"}
+
+
+def speech(lang, r, n=40):
+    return " ".join(r.choice(LANGS[lang].split()) + r.choice(LANGS[lang].split()) for _ in range(n))
+
+
+def test_language(spark):
+    r = random.Random(1)
+    train = [(i, speech(k, r), k) for i in range(90) for k in LANGS] + [(999, None, "en"), (998, "text", None)]
+    df = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = langid.train(langid.sample(df))
+    assert model.languages == sorted(LANGS)
+    test = [(4 * i + j, speech(k, r, 6), k) for i in range(40) for j, k in enumerate(LANGS)]
+    odd = [(1000, None, "und"), (1001, "", "und"), (1002, "12 -- ,.", "und"), (1003, "…", "und")]
+    got = {x["doc_id"]: x for x in langid.predictions(table(spark, [x[:2] for x in test + odd]), model).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i, *_ in odd)
+    assert sum(got[i]["lang_pred"] == k for i, _, k in test) >= 110
+    assert all(0 <= x["score"] <= 1 for x in got.values())
+    assert langid.train(langid.sample(df.limit(0))) is None
+    assert {x["lang_pred"] for x in langid.predictions(df, None).collect()} == {"und"}
+
+
+def test_code_lengths_are_those_of_the_trees():
+    texts = {"x": ["abracadabra arbor"], "y": ["banana bandana"]}
+    model = langid.train(texts)
+    classes = model.classes
+    for j, lang in enumerate(model.languages):
+        counts = Counter()
+        seq = [int(classes[b]) for b in texts[lang][0].encode()]
+        for k in range(langid.ORDER + 1):
+            padded = [int(classes[0x20])] * langid.ORDER + seq
+            for i in range(langid.ORDER, len(padded)):
+                counts[tuple(padded[i - k : i]), padded[i]] += 1
+
+        def cost(context, s):
+            own = {x: n for (c, x), n in counts.items() if c == context}
+            shorter = (lambda: cost(context[1:], s)) if context else (lambda: np.log2(langid.SYMBOLS))
+            if not own:
+                return shorter()
+            total, kinds = sum(own.values()), len(own)
+            return np.log2(total + kinds) - np.log2(own[s]) if s in own else np.log2(total + kinds) - np.log2(kinds) + shorter()
+
+        test = "abandon arbor!".encode()
+        syms = [int(classes[0x20])] * langid.ORDER + [int(classes[b]) for b in test]
+        want = sum(cost(tuple(syms[i - langid.ORDER : i]), syms[i]) for i in range(langid.ORDER, len(syms)))
+        got = model.bits(np.frombuffer(test, np.uint8), np.array([0, len(test)]))[0, j] / langid.UNIT
+        assert got == pytest.approx(want, abs=0.02)
+
+
+# ---- 4
+
+
+def test_licences(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies. The software is provided \"as is\", without warranty of any kind."
+    rows = [(1, "Some words.\nLicensed under the Apache License, Version 2.0.\nMore."), (2, mit), (3, "Released under the MIT License."), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "Licensed under CC BY-NC 4.0."), (6, "a licence to kill"), (7, None), (8, ""), (9, "SPDX-License-Identifier: Zlib"), (10, "In no event shall the author be liable"), (11, "Released under the MIT License. Licensed under CC BY-NC 4.0. Released under the MIT License.")]
+    got = {r["doc_id"]: r for r in license_scan.scan(table(spark, rows)).collect()}
+    assert {k: v["licences"] for k, v in got.items()} == {1: "Apache-2.0", 2: "MIT", 3: "MIT", 4: "GPL-3.0", 5: "CC-BY-NC-4.0", 6: "", 7: "", 8: "", 9: "zlib", 10: "", 11: "MIT,CC-BY-NC-4.0"}
+    assert got[10]["unmatched"] == "no-liability" and got[2]["n_sentences"] == 3
+    assert license_scan.scan(empty(spark)).count() == 0
+
+
+def test_rules_follow_order():
+    assert license_scan.licences(["mit-notice", "mit-grant"]) == ([], ["mit-notice", "mit-grant"])
+    assert license_scan.licences(["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]) == (["BSD-3-Clause"], [])
+
+
+# ---- 5
+
+
+def test_fingerprints_and_groups(spark):
+    got = simhash.grouped(table(spark), group_rows=4)
+    assert out(got, "doc_id", "fingerprint", "component_id") == strings(plain.simhash_groups(ROWS))
+    assert simhash.grouped(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 50, 900])
+def test_groups_of_codes(n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, max(1, n // 3), dtype=np.uint64)
+    codes = base[rng.integers(0, len(base), n)]
+    for _ in range(5):
+        codes ^= np.where(rng.random(n) < 0.5, np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64), np.uint64(0))
+    codes = np.unique(codes)
+    group = rng.integers(0, 3, len(codes))
+    order = np.lexsort((simhash.gray_rank(codes), group))
+    codes, group = codes[order], group[order]
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(codes)]])
+    parent = list(range(len(codes)))
+    for i in range(len(codes)):
+        for j in range(i):
+            if group[i] == group[j] and (int(codes[i]) ^ int(codes[j])).bit_count() <= 4:
+                a, b = plain.find(parent, i), plain.find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    assert simhash.link_groups(codes, bounds).tolist() == [plain.find(parent, i) for i in range(len(codes))]
+
+
+def test_masks_hold_every_pair_within_reach():
+    rng = np.random.default_rng(0)
+    for n in (10, 10**8, 10**10, 10**12):
+        family = simhash.masks(n)
+        for _ in range(200):
+            diff = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(diff & m == 0 for m in family)
+
+
+def test_gray_neighbours_differ_in_one_bit():
+    codes = np.arange(256, dtype=np.uint64)
+    order = codes[np.argsort(simhash.gray_rank(codes))]
+    assert (np.bitwise_count(order[1:] ^ order[:-1]) == 1).all()
+
+
+def test_near_copies(spark):
+    r = random.Random(5)
+    base = [[f"v{r.randint(0, 5000)}" for _ in range(200)] for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base):
+        w = list(w)
+        w[r.randint(0, 199)] = "changed"
+        rows.append((100 + i, " ".join(w)))
+        rows.append((200 + i, " ".join(w[:100] + [f"u{r.randint(0, 5000)}" for _ in range(100)])))
+    rows += [(400, None), (401, ""), (None, " ".join(base[0]) + " tail"), (402, "a b"), (403, "a b c")]
+    kept = [x["doc_id"] for x in simhash.deduplicated(table(spark, rows)).collect()]
+    assert sorted(kept, key=lambda x: (x is None, x)) == [*range(30), *range(200, 230), 400, 402, 403]
+    assert simhash.deduplicated(empty(spark)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(50)]
+    parent = {x: x for e in edges for x in e}
+    for a, b in edges:
+        x, y = plain.find(parent, a), plain.find(parent, b)
+        parent[max(x, y)] = min(x, y)
+    want = sorted((x, plain.find(parent, x)) for x in parent if plain.find(parent, x) != x)
+    assert sorted(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect())) == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---- 6
+
+
+COLS6 = ("doc_id", "keep_id", "group_size", "text_sha256")
+
+
+def test_exact_copies(spark):
+    got = exact_dedup.duplicates(table(spark), bucket_rows=10, chain_rows=3)
+    want = plain.exact(ROWS)
+    assert out(got, *COLS6) == strings([(a, b, c, e) for a, b, c, _, e in want])
+    assert got.where("kept").count() == sum(r[3] for r in want)
+    assert exact_dedup.duplicates(empty(spark)).count() == 0
+
+
+def test_colliding_hashes(spark):
+    got = exact_dedup.duplicates(table(spark), key=lambda t: F.length(t).cast("long") % 3, bucket_rows=10, chain_rows=5)
+    assert out(got, *COLS6) == strings([(a, b, c, e) for a, b, c, _, e in plain.exact(ROWS)])
+    assert got.where("kept").count() == len({r[4] for r in plain.exact(ROWS)})
+
+
+def test_rows_that_stay(spark):
+    kept = exact_dedup.deduplicated(table(spark))
+    assert kept.columns == table(spark).columns
+    want = [(i, t) for (i, t), r in zip(ROWS, plain.exact(ROWS), strict=True) if r[3]]
+    assert len(want) == kept.count()
+    assert {(r["doc_id"], " ".join((r["text"] or "").split())) for r in kept.collect()} == {(i, " ".join((t or "").split())) for i, t in want}
+
+
+def test_directory_keeps_range_order(spark):
+    df = spark.range(5000).select(F.xxhash64("id").alias("_h")).union(spark.range(3000).select(F.lit(77).cast("long").alias("_h")))
+    leaves, chains = exact_dedup.directory(df, 200)
+    assert chains == [77] and sum(n for *_, n in leaves) == 5000 and max(n for *_, n in leaves) <= 200
+    depth, slots = exact_dedup.owners(leaves, 200)
+    assert len(slots) == 1 << depth and [o for _, o in slots] == sorted(o for _, o in slots)
+
+
+# ---- 7
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>
+<div class="cookie-notice">We use cookies <button>ok</button></div><article><h1>A &amp; B</h1><p>First   part of the text,
+with a <b>bold</b> word and <a href=x>a link</a> in it.<br>And a line.</p><div class="ad">Buy now</div><p>Last.</p></article>
+<section class="comments"><p>I liked this page very much indeed</p></section><footer>&copy; me</footer></body></html>"""
+
+
+def test_pages(spark):
+    want = "A & B\n\nFirst part of the text, with a bold word and a link in it. And a line.\n\nLast."
+    deep = "<div>" * 2000 + "some deep words here"
+    pages = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, "u", "plain words < only"), (5, None, deep), (6, "u", "<nav>menu words</nav>"), (1, "u", PAGE)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("old"))
+    got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_extract.texts(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, want, len(want)), (1, want, len(want)), (2, "", 0), (3, "", 0), (4, "plain words < only", 18), (5, "some deep words here", 20), (6, "", 0)], key=str)
+
+
+def test_pages_without_elements_for_articles():
+    page = "<div><a href=/>start</a> <a href=/l>list</a></div><div id=main><div>" + "The first block has a good many words in it. " * 3 + "</div><div>" + "The second block has as many words as the first. " * 3 + "</div></div><div class=sidebar><a href=/a>one</a><p>not the text</p></div><form><label>Name</label></form>"
+    assert [b[:9] for b in html_extract.extract(page)] == ["The first", "The secon"]
+
+
+def test_best_region_is_the_greatest_sum():
+    r = random.Random(0)
+    for _ in range(300):
+        s = [r.randint(-5, 5) for _ in range(r.randint(1, 12))]
+        a, b = html_extract.best_region(s)
+        assert sum(s[a:b]) == max(0, max(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)))
+
+
+# ---- 8
+
+
+ITEMS = [(1, " ".join(PASSAGES[1])), (20, "w1 W2"), (3, None), (4, ""), (5, " ".join(PASSAGES[3][:12])), (5, "x"), (None, "w5"), (6, "日本")]
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_contamination(spark, most):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("key", F.lit(1))
+    got = decontamination.hits(table(spark), items, max_grams=most)
+    assert out(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == strings(plain.hits(ROWS, ITEMS))
+    assert decontamination.hits(empty(spark), items, max_grams=most).count() == 0
+    none = decontamination.hits(table(spark), items.limit(0), max_grams=most)
+    assert none.where("contaminated").count() == 0 and none.count() == len(ROWS)
+
+
+def test_rows_and_spans_that_go(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    clean = decontamination.cleaned(table(spark), items)
+    want = [i for (i, _), r in zip(ROWS, plain.hits(ROWS, ITEMS), strict=True) if not r[5]]
+    assert sorted(map(str, (r["doc_id"] for r in clean.collect()))) == sorted(map(str, want))
+    cut = decontamination.removed_spans(table(spark, [(1, "keep, w1 W2! this"), (2, None)]), items)
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: "keep,  ! this", 2: None}
+
+
+# ---- 9
+
+
+ODD = ["it's don't I'LL we've", "ABC123 x9y", "<|endoftext|> a<|endoftext|>b", "Straße ÀÉÎ ÿ İx", "日本語 テスト", "áb é", "###$$$ &&!! …—", "\x1cfoo\x1dbar", "a\x85b c", "Σας ΟΔΟΣ", "x" * 500, "🙂🙂 ok", "a×b ÷ 3×4", "œuvre Œuf", "rock'n'roll 'D", "<|ENDOFTEXT|>", "éa", "12 345", "À,Ù.", None, ""]
+
+
+def test_ids_are_the_librarys():
+    t, own = Tokenizer.from_file(TOKENIZER), WordBpe(Tables(TOKENIZER))
+    assert own.fast
+    texts = [x or "" for x in ODD] + [t or "" for _, t in ROWS]
+    for _ in range(2):
+        for i, j, data, offs in lx.chunks(pa.array(texts, pa.large_string()), 2000):
+            ids, bounds = own.encode(data, offs)
+            for d in range(j - i):
+                assert ids[bounds[d] : bounds[d + 1]].tolist() == t.encode(texts[i + d], add_special_tokens=False).ids
+
+
+def test_packing(spark):
+    rows = ROWS + [(700 + k, t) for k, t in enumerate(ODD)]
+    got = packing.packed(table(spark, rows), TOKENIZER).collect()
+    want = plain.pieces(Tokenizer.from_file(TOKENIZER), rows)
+    assert strings([(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got]) == strings(want)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= packing.CAPACITY
+    total = sum(r["length"] for r in got)
+    assert len(by) <= -(-total // packing.CAPACITY) + 1
+    assert packing.packed(empty(spark), TOKENIZER).count() == 0
+
+
+def test_plans():
+    r = random.Random(4)
+    for case in range(25):
+        histogram = {r.randint(1, 100): r.randint(1, 40) for _ in range(r.randint(1, 30))}
+        rows, n = packing.plan(histogram, 100, 30)
+        used, fill = Counter(), Counter()
+        spans = {}
+        for length, first, count, seq, off in rows:
+            used[length] += count
+            spans.setdefault(length, []).append((first, count))
+            for k in range(count):
+                fill[seq + k] += length
+        assert used == Counter(histogram) and len(fill) == n and max(fill.values()) <= 100
+        for own in spans.values():
+            at = 0
+            for first, count in sorted(own):
+                assert first == at
+                at += count
+        bins = []
+        for length in sorted((k for k, v in histogram.items() for _ in range(v)), reverse=True):  # first fit decreasing
+            at = next((i for i, b in enumerate(bins) if b + length <= 100), None)
+            if at is None:
+                bins.append(length)
+            else:
+                bins[at] += length
+        assert n <= 1.02 * len(bins) + 1, (case, n, len(bins))
+    assert packing.plan({}, 100) == ([], 0)
+
+
+# ---- 10
+
+
+def toxic_rows(r, n):
+    bad = ["stupid", "idiot", "moron"]
+    rows = []
+    for i in range(n):
+        w = [r.choice(["tion", "the", "ing", "and", "of", "er"]) + r.choice(["an", "ou", "re", "st", "en"]) for _ in range(r.randint(20, 80))]
+        y = int(r.random() < 0.3)
+        for _ in range(3 if y else 0):
+            w[r.randrange(len(w))] = r.choice(bad)
+        rows.append((i, " ".join(w), y))
+    return rows
+
+
+def test_toxicity(spark):
+    r = random.Random(8)
+    rows = toxic_rows(r, 600)
+    docs = spark.createDataFrame([x[:2] for x in rows] + [(9000, None), (9001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(9000, 1), (None, 1), (4, rows[4][2])], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    test = toxic_rows(r, 200)
+    odd = [(500, "a stupidd person and an idioot said this to the others who were then very sad about it", 1), (501, None, 0), (502, "", 0), (503, "?!", 0)]
+    df = table(spark, [x[:2] for x in test + odd]).drop("score")
+    got = {x["doc_id"]: x["score"] for x in toxicity.scores(df, model).collect()}
+    wrong = [i for i, _, y in test if (got[i] >= 0.3) != bool(y)]
+    assert len(wrong) <= 10
+    assert got[500] > 0.3 and got[501] == got[502] == got[503] < got[500]
+    kept = toxicity.accepted(table(spark, [x[:2] for x in test + odd]), model)
+    assert {x["doc_id"] for x in kept.collect()} == {i for i, s in got.items() if s < 0.3}
+    assert toxicity.scores(empty(spark), model).count() == 0
+
+
+def test_toxicity_without_labels(spark):
+    docs = table(spark)
+    none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {x["score"] for x in toxicity.scores(docs, none).collect()} == {0.5}
+    one = toxicity.fit(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
+    assert toxicity.scores(docs, one).where("score > 0.01").count() == 0
+
+
+# ---- words
+
+
+def test_words_and_windows():
+    texts = [t or "" for _, t in ROWS[:150]]
+    for _, j, data, offs in lx.chunks(pa.array(texts, pa.string()), 3000):
+        starts, ends, bounds = lx.words(data, offs, lx.NOT_SPACE)
+        raw = data.tobytes()
+        for d in range(len(offs) - 1):
+            own = [raw[starts[k] : ends[k]] for k in range(bounds[d], bounds[d + 1])]
+            assert own == raw[offs[d] : offs[d + 1]].split()
+        h = lx.word_hashes(data, starts, ends)
+        of = {}
+        for k in range(len(starts)):
+            assert of.setdefault(raw[starts[k] : ends[k]], h[k]) == h[k]
+        assert len(set(of.values())) == len(of)
+    long = ("y" * 1000 + " ") * 3
+    starts, ends, _ = lx.words(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]), lx.NOT_SPACE)
+    assert len(set(lx.word_hashes(np.frombuffer(long.encode(), np.uint8), starts, ends).tolist())) == 1
+
+
+def test_null_and_sliced_columns():
+    col = pa.array(["a b", None, "", "c"], pa.string()).slice(1)
+    parts = [(data.tobytes(), offs.tolist()) for _, _, data, offs in lx.chunks(col)]
+    assert parts == [(b"c", [0, 0, 0, 1])]
+    assert list(lx.chunks(pa.array([], pa.string()))) == []
+
