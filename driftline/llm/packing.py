@@ -30,7 +30,7 @@ from .wordbpe import Tables, WordBpe
 CAPACITY = 2048
 #: Rows of one length that one task ranks.
 BLOCK_ROWS = 1 << 18
-ROUNDS = 400
+ROUNDS = 80
 PIECES = "_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -134,43 +134,63 @@ def fill(lengths: list[int], left: list[int], capacity: int) -> Counter:
     return out
 
 
+#: Shares of the fractional solution that are tried as whole uses; the rest is filled sequence by sequence.
+SHARES = (1.0, 0.9, 0.7, 0.4, 0.0)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """([(length, first rank, pieces, first sequence, offset)], sequences): piece first rank + i of that length goes to
-    sequence first sequence + i."""
+    sequence first sequence + i. Of several roundings the one with the fewest sequences is taken, the first that needs
+    no more than all tokens together do."""
+    lengths = sorted(k for k in histogram if k < capacity and histogram[k])
+    counts = [histogram[k] for k in lengths]
+    alone = histogram.get(capacity, 0)
+    uses: list[tuple[list[int], int]] = []
+    if lengths:
+        solved = fractional(np.array(lengths), np.array(counts, float), capacity, rounds)
+        solved.sort(key=lambda c: sum(lengths[j] * n for j, n in c[0].items()), reverse=True)
+        least = -(-sum(k * n for k, n in zip(lengths, counts, strict=True)) // capacity)
+        best = None
+        for share in SHARES:
+            found = rounded(lengths, counts, solved, capacity, share)
+            n = sum(times for _, times in found)
+            if best is None or n < best:
+                best, uses = n, found
+            if n == least:
+                break
     rows: list[tuple[int, int, int, int, int]] = []
     rank: Counter = Counter()
     sequence = 0
-
-    def use(config: list[int], times: int) -> None:
-        nonlocal sequence
+    for config, times in [([capacity], alone)] * (alone > 0) + uses:
         at = 0
         for length in config:
             rows.append((length, rank[length], times, sequence, at))
             rank[length] += times
             at += length
         sequence += times
-
-    if n := histogram.get(capacity, 0):
-        use([capacity], n)
-    lengths = sorted(k for k in histogram if k < capacity and histogram[k])
-    left = [histogram[k] for k in lengths]
-    if lengths:
-        solved = fractional(np.array(lengths), np.array(left, float), capacity, rounds)
-        for config, x in sorted(solved, key=lambda c: sum(lengths[j] * n for j, n in c[0].items()), reverse=True):
-            times = min([int(x), *(left[j] // n for j, n in config.items())])
-            if times > 0:
-                use([lengths[j] for j in sorted(config.elements(), reverse=True)], times)
-                for j, n in config.items():
-                    left[j] -= n * times
-        while any(left):
-            config = fill(lengths, left, capacity)
-            times = min(left[j] // n for j, n in config.items())
-            use([lengths[j] for j in sorted(config.elements(), reverse=True)], times)
-            for j, n in config.items():
-                left[j] -= n * times
     return rows, sequence
 
 
+def rounded(lengths: list[int], counts: list[int], solved: list[tuple[Counter, float]], capacity: int, share: float) -> list[tuple[list[int], int]]:
+    """[(lengths of a sequence, sequences)]: whole uses of the configurations, fullest first, then full sequences from
+    what is left, longest pieces first."""
+    left, out = list(counts), []
+
+    def take(config: Counter, times: int) -> None:
+        out.append(([lengths[j] for j in sorted(config.elements(), reverse=True)], times))
+        for j, n in config.items():
+            left[j] -= n * times
+
+    for config, x in solved if share else ():
+        times = min([int(x * share), *(left[j] // n for j, n in config.items())])
+        if times > 0:
+            take(config, times)
+    while any(left):
+        config = fill(lengths, left, capacity)
+        take(config, min(left[j] // n for j, n in config.items()))
+    return out
+
+
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The pieces (a stable table with `_id`, `piece`, `start`, `length`) with sequence_id and offset.
 
