@@ -537,7 +537,7 @@ def lineitem_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("label"), F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in f]).alias("val"))
 
 
-LINE_PARAMS = Params(k=20, max_iterations=8, radius_f=0.02, min_examples=20)
+LINE_PARAMS = Params(k=100, max_iterations=8, radius_f=7.0, stddev_mode="population")
 
 
 @query()
