@@ -527,6 +527,33 @@ def clean_labels(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", labels.cleaned(F.when(i == 0, "Unk").when(i == 1, "C A").when(i == 2, "ExtNov 7").otherwise("N x")).alias("label"))
 
 
+@query("SELECT event_id, ((event_id % 3) * 3600 + (event_id % 60) * 60 + (event_id % 50))::DOUBLE AS elapsed_s FROM events")
+def log_times(spark, sf_dir):
+    i = F.col("event_id")
+    line = F.concat(F.lit("took "), (i % 3).cast("string"), F.lit(":"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((i % 50).cast("string"), 2, "0"), F.lit(" elapsed"))
+    lines = read(spark, sf_dir, "events").select("event_id", line.alias("value"))
+    return lines.join(formats.log_times(lines.select("value").distinct()), "value").select("event_id", F.round("elapsed_s", 2).alias("elapsed_s"))
+
+
+@query("SELECT user_id, count(*) AS kinds, round(sum(v), 6) AS total FROM (SELECT user_id, event_type, min(value) AS v FROM events GROUP BY user_id, event_type) GROUP BY user_id")
+def label_vectors(spark, sf_dir):
+    v = formats.label_vectors(read(spark, sf_dir, "events"), "user_id", "event_type", "value")
+    return v.select("user_id", F.size("values").cast("long").alias("kinds"), F.round(vectors.total(F.map_values("values")), 6).alias("total"))
+
+
+@query("SELECT label::VARCHAR AS label, count(*) AS n, min(id) AS first_id FROM (SELECT label, vec_id % 3 AS c, min(vec_id) AS id FROM embeddings WHERE vec_id % 5 > 0 GROUP BY label, vec_id % 3) GROUP BY label")
+def distinct_clusters(spark, sf_dir):
+    p = points(spark, sf_dir)
+    model = p.select("id", "label", (F.col("id") % 5).alias("n_matches"), F.lit(1.0).alias("radius"), F.array((F.col("id") % 3).cast("double")).alias("center"))
+    return clustering.distinct_clusters(model).groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query("SELECT event_id % 4 AS source, count(*) AS n FROM events GROUP BY 1")
+def interleave(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id")
+    return formats.interleave(*[e.where(F.col("event_id") % 4 == k) for k in range(4)]).groupBy(F.col("source").cast("long").alias("source")).agg(F.count("*").alias("n"))
+
+
 # ---- a stream of the size of the workload that the engine was made for
 
 

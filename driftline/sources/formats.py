@@ -138,3 +138,16 @@ def write_model(model: DataFrame, path: str, text: bool = False) -> None:
 
 def read_model(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
     return cluster_lines(spark.read.text(path)) if text else spark.read.schema(CLUSTER).parquet(path)
+
+
+def log_times(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(elapsed_s) of log lines with an elapsed time as h:mm:ss or m:ss.ss."""
+    pattern = r"(?:(\d+):)?(\d+):(\d+(?:\.\d+)?)"
+    g = lambda i: F.coalesce(F.regexp_extract(value, pattern, i).try_cast("double"), F.lit(0.0))
+    return lines.where(F.col(value).rlike(pattern)).select(value, (g(1) * 3600 + g(2) * 60 + g(3)).alias("elapsed_s"))
+
+
+def label_vectors(rows: DataFrame, key: str, label: str, value: str) -> DataFrame:
+    """One row a key with a map from label to value; the least value stands for a label given twice."""
+    single = rows.groupBy(key, label).agg(F.min(value).alias("_v"))
+    return single.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(label), F.col("_v"))))).alias("values"))

@@ -178,3 +178,57 @@ def test_connection_features(spark):
     assert len(f) == 34 and f["class"] == "N"
     assert (f["duration"], f["source_bytes"], f["source_ip_7"], f["source_port"], f["destination_port"]) == (0.5, 1.0, 1.0, 1.0, 0.0)
     assert f["flag"] == pytest.approx(10 / 12) and f["start_time"] == pytest.approx(3660 / 219660)
+
+
+def test_model_store(spark, tmp_path):
+    from driftline.sources.streams import ModelStore
+
+    store = ModelStore(spark, str(tmp_path / "store"))
+    assert store.version() == 0
+    df = spark.createDataFrame([(i, "a", [float(i), 1.0]) for i in range(9)], "id long, label string, val array<double>")
+    model = training.fit(df, Params(k=3))
+    assert store.append(model) == 1
+    assert store.append(model.where("id = 2").withColumn("radius", F.lit(9.0))) == 2
+    assert store.since(1).count() == 1 and store.since().count() == 4
+    assert {r["id"]: r["version"] for r in store.latest().collect()} == {0: 1, 1: 1, 2: 2}
+
+
+def test_stream_windows(spark, tmp_path):
+    from driftline.sources.streams import labelled
+    from driftline.streaming import windows
+
+    for k in range(2):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.csv").write_text("\n".join(f"{10 * k + i},{i}.0,{k}.0,{'AN'[i % 2]}" for i in range(6)))
+
+    def run(df, name):
+        df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(60)
+        return spark.table(name).collect()
+
+    source = lambda: labelled(spark, str(tmp_path / "in"), files_per_batch=1)
+    seq = run(windows.numbered(source(), "class", "id"), "w_numbered")
+    assert sorted((r["class"], r["id"], r["seq"]) for r in seq) == sorted((c, i, n) for c, own in (("A", [0, 2, 4, 10, 12, 14]), ("N", [1, 3, 5, 11, 13, 15])) for n, i in enumerate(own))
+    last = max((r for r in run(windows.running_centroids(source(), "class", "val"), "w_centroids") if r["class"] == "A"), key=lambda r: r["n"])
+    assert last["n"] == 6 and last["center"] == [2.0, 0.5]
+    flat = source().select("class", F.col("val")[0].alias("x"))
+    q = windows.count_or_timeout(flat, "class", "x", 2, 60_000).writeStream.format("memory").queryName("w_counted").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(15)  # with timeouts a query never runs out of batches
+    q.stop()
+    counted = spark.table("w_counted").collect()
+    assert all(r["n"] == 2 for r in counted) and len(counted) == 6
+
+
+def test_parallel_detector_repeats_a_batch(spark, tmp_path):
+    from driftline.streaming.parallel import ParallelDetector
+
+    rng = np.random.default_rng(0)
+    train = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(rng.normal(size=(40, 2)))], "id long, label string, val array<double>")
+    p = Params(k=3, min_examples=3, trigger=10, radius_f=0.2)
+    out = []
+    d = ParallelDetector(spark, training.fit(train, p), p, lambda df, b: out.append((b, sorted(map(str, df.collect())))), state_path=str(tmp_path / "state"))
+    batches = [spark.createDataFrame([(100 * b + i, (v + 6 * b).tolist()) for i, v in enumerate(rng.normal(size=(30, 2)))], "id long, val array<double>") for b in range(3)]
+    for b, df in enumerate(batches):
+        d(df, b)
+    again = len(out)
+    d(batches[2], 2)
+    assert out[again] == out[2] and len(d.state) > 3
