@@ -257,9 +257,9 @@ def _checkpoint(spark: SparkSession) -> str:
 def streaming_exact(spark, sf_dir):
     model = training.fit(_known(points(spark, sf_dir)), PARAMS)
     out = exact.detect(_stream(spark, sf_dir), model, PARAMS)
-    name = f"exact_{abs(hash(sf_dir)) % 10**8}"
-    out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", _checkpoint(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("kind", "id", "label", r6("dist"), "cluster_id")
+    path = f"{scratch_root(spark)}/tables/{uuid.uuid4().hex}"
+    out.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", _checkpoint(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path).select("kind", "id", "label", r6("dist"), "cluster_id")
 
 
 @query()

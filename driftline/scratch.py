@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; in a single local process, where it may be unset, a temp folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="driftline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    """spark.checkpoint.dir; in a single local process, where it may be unset, a temp folder. Spark's own checkpoints go
+    there too."""
+    root, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not root:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="driftline-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(root)
     return root
 
 
