@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexing as lx
-from .shared import cut
+from .shared import cut, text_batches
 
 N = 10
 #: Grams (about 150 bytes each) that are broadcast at most.
@@ -135,7 +135,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=[b.schema.names[0], "n_words", "n_hit", "n_items", "items_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lx.trimmed(scan), f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
+    return text_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(lx.trimmed(scan), f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def _joined(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -201,7 +201,7 @@ def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int =
             keep = [mask is None or mask.sum() <= most_hit * size for _, _, data, offs in lx.chunks(b.column(where)) for size, mask, _ in _hit_rows(sent.value, data, offs)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(lx.trimmed(scan), docs.schema)
+    return text_batches(docs).mapInArrow(lx.trimmed(scan), docs.schema)
 
 
 def removed_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int = N, max_grams: int = MAX_GRAMS) -> DataFrame:
@@ -228,4 +228,4 @@ def removed_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", n:
                     texts[i + d] = b"".join([*out, raw[at:].tobytes()]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == where else c for k, c in enumerate(b.columns)], names=b.schema.names)
 
-    return docs.mapInArrow(lx.trimmed(scan), docs.schema)
+    return text_batches(docs).mapInArrow(lx.trimmed(scan), docs.schema)

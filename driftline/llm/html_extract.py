@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_labelled import PAGES
+from .shared import text_batches
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -189,7 +190,7 @@ def texts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without html_col, with text (blocks joined by a blank line, empty if none) and n_chars. Null html is
     empty. A column that is called text or n_chars already is replaced; rows may repeat."""
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    picked = pages.select(*rest, F.col(html_col).alias("_html"))
+    picked = text_batches(pages).select(*rest, F.col(html_col).alias("_html"))
 
     def run(batches):
         for b in batches:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexing as lx
+from .shared import text_batches
 
 ORDER, SYMBOLS = 3, 48
 UNIT = 1024
@@ -151,4 +152,4 @@ def predictions(docs: DataFrame, model: Model | None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(share) if share else np.zeros(0))], names=["_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(lx.trimmed(run), f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    return text_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(lx.trimmed(run), f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)

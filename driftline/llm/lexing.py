@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes handled at once; a single longer document makes a longer chunk.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 256
 

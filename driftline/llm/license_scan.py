@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import text_batches
+
 #: A text without any of these has no licence sentence: each known sentence holds one.
 HINTS = re.compile(rb"licen[sc]|permi|redistribut|warrant|copyright|as[ -]is|endorse|public domain|spdx|cc0|liab", re.I)
 _BREAK = re.compile(r"(?<=[.!?;])\s+|\n+")
@@ -132,4 +134,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in out[:3]), pa.array(out[3], pa.int64())], names=["_id", "sentences", "licences", "unmatched", "n_sentences"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, sentences string, licences string, unmatched string, n_sentences bigint").withColumnRenamed("_id", id_col)
+    return text_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, sentences string, licences string, unmatched string, n_sentences bigint").withColumnRenamed("_id", id_col)

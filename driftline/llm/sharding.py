@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import scratch_root
+
 #: Rows of a shard that one task permutes.
 BLOCK_ROWS = 1 << 17
 
@@ -84,6 +86,7 @@ def shard(df: DataFrame, shards: int, seed: int = 7, block_rows: int = BLOCK_ROW
     """
     df = df.drop("shard", "slot")
     spark = df.sparkSession
+    scratch_root(spark)
     held = df.checkpoint()
     parts = held.rdd.getNumPartitions()
     sizes = np.zeros(parts, np.int64)

@@ -4,28 +4,28 @@ from __future__ import annotations
 
 import gc
 import json
-import tempfile
 import uuid
 import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_root
+
 #: A side is broadcast only when it has been counted and holds no more than this many bytes.
 BROADCAST_BYTES = 48 << 20
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in a single local process a temp folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="driftline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+#: Rows of text that go to a Python worker at once; Arrow batches are bounded by rows only, and texts may be long.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding its session's Arrow batches to TEXT_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= TEXT_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return df
 
 
 def cut(df: DataFrame) -> DataFrame:

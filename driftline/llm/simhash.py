@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from . import lexing as lx
 from .components import components
-from .shared import cut, keep_rows, maybe_broadcast, release
+from .shared import cut, keep_rows, maybe_broadcast, release, text_batches
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Fingerprints that a group should hold on average, at most.
 GROUP_ROWS = 2048
 LEAF, FAN = 16, 8
 #: Node pairs handled at once.
-FRONT = 1 << 18
+FRONT = 1 << 16
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["_id", "_fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(lx.trimmed(make), f"_id {kind}, _fp bigint")
+    return text_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(lx.trimmed(make), f"_id {kind}, _fp bigint")
 
 
 def masks(n: int, k: int = BITS, group_rows: int = GROUP_ROWS) -> list[int]:
@@ -359,7 +359,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of it and not within itself, so the work grows with the rows and not with the square of a class.
     Null text is empty, null ids come last.
     """
-    keyed = docs.select(F.col(id_col).alias("_key_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_key_text", F.xxhash64("_t")).withColumn("_node", F.xxhash64("_key_id", "_t"))
+    keyed = text_batches(docs).select(F.col(id_col).alias("_key_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_key_text", F.xxhash64("_t")).withColumn("_node", F.xxhash64("_key_id", "_t"))
 
     def run(batches):
         for b in batches:

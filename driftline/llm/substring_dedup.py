@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexing as lx
-from .shared import cut, maybe_broadcast, release
+from .shared import cut, maybe_broadcast, release, text_batches
 
 WINDOW = 35
 ROUNDS, CONTEXT = 3, 12
@@ -110,7 +110,7 @@ def elected(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumns({"_k": F.xxhash64("_id", "_t"), "_k2": F.hash(F.lit(1), "_t", "_id")})
+    return text_batches(docs).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumns({"_k": F.xxhash64("_id", "_t"), "_k2": F.hash(F.lit(1), "_t", "_id")})
 
 
 def _parse(data: np.ndarray, offs: np.ndarray):

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexing as lx
+from .shared import text_batches
 
 BITS, DIM = 18, 6
 SIZES = (3, 4, 5, 6)
@@ -186,7 +187,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(found) if found else np.zeros(0))], names=["_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(lx.trimmed(run), f"_id {kind}, score double").withColumnRenamed("_id", id_col)
+    return text_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(lx.trimmed(run), f"_id {kind}, score double").withColumnRenamed("_id", id_col)
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -198,4 +199,4 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "
             found = [chunk_scores(sent.value, data, offs) for _, _, data, offs in lx.chunks(b.column(where), CHUNK_BYTES)]
             yield b.filter(pa.array(np.concatenate(found) < threshold if found else np.zeros(0, bool)))
 
-    return docs.mapInArrow(lx.trimmed(run), docs.schema)
+    return text_batches(docs).mapInArrow(lx.trimmed(run), docs.schema)
