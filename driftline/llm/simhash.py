@@ -283,15 +283,14 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 NEAR_SHINGLE, SAMPLE, LEVELS, SAMPLE_BITS = 5, 7, 4, 2
 #: Jaccard similarity of near copies, at least.
 NEAR = 0.8
+#: Documents of fewer shingles find their copies by prefixes, without samples.
+SHORT = 60
+#: A class is compared within itself in blocks of about so many documents and bytes of text.
+BLOCK_DOCS, BLOCK_BYTES = 2048, 8 << 20
 
 
-def chunk_samples(data: np.ndarray, offs: np.ndarray, shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(document, fingerprint) of the shingle samples of one chunk.
-
-    A document's different shingles are dealt by hash into 2**level samples, each the SAMPLE least hashes of its part;
-    level follows the number of shingles, and two neighbouring levels are made, so that texts of nearly equal length
-    share one.
-    """
+def shingle_hashes(data: np.ndarray, offs: np.ndarray, shingle: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the different shingles of one chunk's documents, in this order."""
     low = lx.LOWER[data]
     starts, ends, bounds = lx.words(low, offs, lx.NOT_SPACE)
     win = lx.Windows(lx.word_hashes(low, starts, ends))
@@ -306,9 +305,31 @@ def chunk_samples(data: np.ndarray, offs: np.ndarray, shingle: int = NEAR_SHINGL
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    doc, h = doc[new], h[new]
-    level = np.floor(np.log2(np.maximum(1, np.bincount(doc, minlength=len(offs) - 1) / SAMPLE))).astype(np.int64)
-    docs, fps = [], []
+    return doc[new], h[new]
+
+
+def prefix_length(size: np.ndarray, least: float = NEAR) -> np.ndarray:
+    """Of any order that two sets share, each one's first so many members hold one of the other's, if they are similar."""
+    return size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+
+
+def chunk_prefixes(doc: np.ndarray, h: np.ndarray, n_docs: int, least: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the least shingle hashes of each document: two similar documents have one in common."""
+    size = np.bincount(doc, minlength=n_docs)
+    first = np.cumsum(size) - size
+    picked = np.arange(len(h)) - first[doc] < prefix_length(size, least)[doc]
+    return doc[picked], h[picked]
+
+
+def chunk_samples(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, fingerprint) of the shingle samples of one chunk, from its different shingles.
+
+    A document's different shingles are dealt by hash into 2**level samples, each the SAMPLE least hashes of its part;
+    level follows the number of shingles, and two neighbouring levels are made, so that texts of nearly equal length
+    share one.
+    """
+    level = np.floor(np.log2(np.maximum(1, np.bincount(doc, minlength=n_docs) / SAMPLE))).astype(np.int64)
+    docs, fps = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for k in (0, 1):
         own = np.minimum(level + k, LEVELS)
         use = np.repeat(True, len(h)) if k == 0 else (level < LEVELS)[doc]  # the same level twice is made once
@@ -348,15 +369,110 @@ def _similar(shingle: int, least: float):
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR) -> DataFrame:
+def link_similar(doc: np.ndarray, h: np.ndarray, label: np.ndarray, side: np.ndarray | None = None, least: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): pairs of similar documents that join all documents which similar pairs connect, given their different
+    shingles (document, hash) in order of document and the classes (label) they are in already. With `side`, only
+    pairs across.
+
+    Nothing is left out but pairs in one class already, and pairs that lengths or prefixes (rarest shingles first)
+    prove to be less similar. Documents with the commonest shingles come first, as they connect most.
+    """
+    n, label = len(label), label.copy()
+    size = np.bincount(doc, minlength=n)
+    first = np.cumsum(size) - size
+    _, token = np.unique(h, return_inverse=True)
+    often = np.bincount(token)
+    common = np.add.reduceat(often[token], first) / size
+    token = token[np.lexsort((token, often[token], doc))]
+    lead = prefix_length(size, least)
+    place = np.flatnonzero((np.arange(len(token)) - first[doc] < lead[doc]) & (often[token] > 1))
+    place = place[np.argsort(token[place], kind="stable")]
+    lists, ends = doc[place], np.searchsorted(token[place], np.arange(len(often) + 1))
+    done, mark = np.zeros(n, bool), np.zeros(len(often), bool)
+    xs, ys = [], []
+    for x in np.argsort(-common, kind="stable").tolist():
+        done[x] = True
+        own = token[first[x] : first[x] + size[x]]
+        lead_x = own[: lead[x]]
+        lead_x = lead_x[often[lead_x] > 1]
+        if not len(lead_x):
+            continue
+        met = np.zeros(n, bool)
+        for t in lead_x.tolist():
+            met[lists[ends[t] : ends[t + 1]]] = True
+        met &= ~done & (label != label[x])
+        if side is not None:
+            met &= side != side[x]
+        found = np.flatnonzero(met)
+        found = found[(size[found] >= least * size[x] - 1e-9) & (size[x] >= least * size[found] - 1e-9)]
+        mark[own] = True
+        for i in range(0, len(found), 1024):
+            y = found[i : i + 1024]
+            m = size[y]
+            to = np.cumsum(m) - m
+            both = np.add.reduceat(mark[token[np.arange(int(m.sum())) + np.repeat(first[y] - to, m)]].astype(np.int64), to)
+            y = y[both >= least * (size[x] + m - both)]
+            y = y[np.unique(label[y], return_index=True)[1]]
+            y = y[label[y] != label[x]]
+            if len(y):
+                xs.append(np.full(len(y), x))
+                ys.append(y)
+                label[np.isin(label, label[y])] = label[x]
+        mark[own] = False
+        if (label == label[0]).all():
+            break
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _links_inside(shingle: int, least: float):
+    """Edges (a, b) of (_class, _i, _j, _side, _node, _root, text) rows that come class after class and block after block."""
+
+    def run(rows: pa.Table):
+        node, root = (rows.column(c).to_numpy() for c in ("_node", "_root"))
+        side = rows.column("_side").to_numpy() if rows.column("_i")[0] != rows.column("_j")[0] else None
+        parts = [(i, *shingle_hashes(data, offs, shingle)) for i, _, data, offs in lx.chunks(rows.column("_t").combine_chunks())]
+        x, y = link_similar(np.concatenate([i + d for i, d, _ in parts]), np.concatenate([h for *_, h in parts]), np.unique(root, return_inverse=True)[1], side, least)
+        return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+    def links(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if held and key != tuple(keys[:, lo]):
+                    yield run(pa.Table.from_batches(held))
+                    held = []
+                key = tuple(keys[:, lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield run(pa.Table.from_batches(held))
+
+    return links
+
+
+def _open_members(classed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(_class, _node, _root, _n): the members of classes that the groups (a, b) so far leave in more than one part. A
+    class of two has been compared; of classes with the same members one is taken."""
+    rooted = classed.join(groups.select(F.col("a").alias("_node"), F.col("b").alias("_root")), "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    kinds = rooted.groupBy("_class").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("_node").cast("decimal(38,0)")).alias("_sum"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi"))
+    open_ = kinds.where("_n > 2 and _lo <> _hi").groupBy("_n", "_sum").agg(F.min("_class").alias("_class")).select("_class", "_n")
+    return rooted.join(open_, "_class").select("_class", "_node", "_root", "_n")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(_key_id, _key_text, kept): one row per document; of each group of near copies the least id is kept.
 
     One fingerprint of a whole text tells copies apart that share 80 % of their shingles, so here a document has the
-    fingerprints of up to 2**LEVELS samples of its five-word shingles. A document is compared with the least document
-    of each class of samples within SAMPLE_BITS in the index: two texts of similarity 0.8 have such samples in about
-    98 of 100 cases, of 0.9 in all but one in ten thousand. The comparison is exact, Jaccard similarity of the whole
-    texts' shingle sets; groups are the components of the pairs that pass. Each class is compared with one document
-    of it and not within itself, so the work grows with the rows and not with the square of a class.
+    fingerprints of up to 2**LEVELS samples of its five-word shingles. Documents are candidates if they have samples
+    in one class of the index: two texts of similarity 0.8 have such samples in about 98 of 100 cases, of 0.9 in all
+    but one in ten thousand. A class's documents are first compared with the least of them, exactly, as Jaccard
+    similarity of the whole texts' shingle sets. A class that this leaves in several groups is compared within itself,
+    every pair that is not in one group already (link_similar, on 64-bit shingle hashes); a large one block by block,
+    so that no task holds more than two blocks. Groups are the components of all pairs that pass.
     Null text is empty, null ids come last.
     """
     keyed = text_batches(docs).select(F.col(id_col).alias("_key_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_key_text", F.xxhash64("_t")).withColumn("_node", F.xxhash64("_key_id", "_t"))
@@ -365,21 +481,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             node = b.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, offs in lx.chunks(b.column(1)):
-                d, fp = chunk_samples(data, offs, shingle)
+                d, fp = chunk_samples(*shingle_hashes(data, offs, shingle), len(offs) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(node[i + d]), pa.array(fp.view(np.int64))], names=["_node", "_fp"])
 
     samples = cut(keyed.select("_node", "_t").mapInArrow(lx.trimmed(run), "_node bigint, _fp bigint").distinct())
     different = cut(samples.groupBy("_fp").agg(F.count("*").alias("_n")))
     same = components(links(different.select("_fp"), different.count(), SAMPLE_BITS)).select(F.col("a").alias("_fp"), F.col("b").alias("_class"))
-    classed = samples.join(same, "_fp", "left").select("_node", F.coalesce("_class", "_fp").alias("_class"))
+    classed = cut(samples.join(same, "_fp", "left").select("_node", F.coalesce("_class", "_fp").alias("_class")).distinct())
     hubs = classed.groupBy("_class").agg(F.min("_node").alias("_hub"), F.count("*").alias("_n")).where("_n > 1").select("_class", "_hub")
     pairs = cut(classed.join(hubs, "_class").where("_node <> _hub").select("_node", "_hub").distinct())
     release(samples, different)
     ends = cut(pairs.select("_node").union(pairs.select("_hub")).distinct())
-    texts = cut(keyed.select("_node", "_t").join(maybe_broadcast(ends, ends.count(), 24), "_node").dropDuplicates(["_node"]))
-    both = pairs.join(texts, "_node").join(texts.select(F.col("_node").alias("_hub"), F.col("_t").alias("_h")), "_hub").select("_node", "_hub", "_t", "_h")
-    groups = components(both.mapInArrow(lx.trimmed(_similar(shingle, similarity)), "a bigint, b bigint")).select(F.col("a").alias("_node"), F.col("b").alias("_root"))
-    release(pairs, ends, texts)
+    texts = cut(keyed.select("_node", "_t").join(maybe_broadcast(ends, ends.count(), 24), "_node").dropDuplicates(["_node"]).withColumn("_bytes", F.octet_length("_t")))
+    both = pairs.join(texts.drop("_bytes"), "_node").join(texts.select(F.col("_node").alias("_hub"), F.col("_t").alias("_h")), "_hub").select("_node", "_hub", "_t", "_h")
+    groups = components(both.mapInArrow(lx.trimmed(_similar(shingle, similarity)), "a bigint, b bigint"))
+    members = cut(_open_members(classed, groups).join(texts.select("_node", "_bytes"), "_node"))
+    if not members.isEmpty():
+        blocks = members.groupBy("_class").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("_bytes") / BLOCK_BYTES)).cast("int").alias("_blocks"))
+        placed = members.join(blocks, "_class").withColumn("_side", F.expr("cast(pmod(xxhash64(_node, 1), _blocks) as int)")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        spread = placed.select("_class", F.least("_side", "_other").alias("_i"), F.greatest("_side", "_other").alias("_j"), "_side", "_node", "_root").join(texts.select("_node", "_t"), "_node")
+        dealt = spread.select("_class", "_i", "_j", "_side", "_node", "_root", "_t").repartition("_class", "_i", "_j").sortWithinPartitions("_class", "_i", "_j")
+        groups = components(groups.union(dealt.mapInArrow(lx.trimmed(_links_inside(shingle, similarity)), "a bigint, b bigint")))
+    groups = groups.select(F.col("a").alias("_node"), F.col("b").alias("_root"))
+    release(classed, pairs, ends, texts, members)
     rooted = cut(keyed.drop("_t").join(maybe_broadcast(groups, groups.count(), 40), "_node", "left").withColumn("_root", F.coalesce("_root", "_node")))
     first = rooted.groupBy("_root").agg(F.min(F.struct(F.col("_key_id").isNull().alias("n"), F.col("_key_id").alias("id"), F.col("_node").alias("node"))).alias("first"), F.count("*").alias("_n")).where("_n > 1").select("_root", F.col("first.node").alias("_first"))
     return rooted.join(first, "_root", "left").select("_key_id", "_key_text", (F.coalesce("_first", "_node") == F.col("_node")).alias("kept"))

@@ -247,6 +247,52 @@ def test_near_copies(spark):
     assert simhash.deduplicated(empty(spark)).count() == 0
 
 
+def star(copies, words=400, edits=7, seed=3):
+    """A base and edited copies that are similar to it and not to each other."""
+    r = random.Random(seed)
+    base = [f"v{r.randint(0, 10**6)}" for _ in range(words)]
+    rows = [(0, " ".join(base))]
+    for i in range(copies):
+        w = list(base)
+        for k, at in enumerate(sorted(r.sample(range(words // 6), edits))):
+            w[6 * at] = f"x{i}-{k}"
+        rows.append((i + 1, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("blocks", [2048, 90])
+def test_near_copies_of_a_base_only(spark, blocks):
+    rows = star(300)
+    alike = [plain.jaccard(rows[0][1], t) for _, t in rows[1:]]
+    apart = [plain.jaccard(rows[i][1], rows[i + 1][1]) for i in range(1, 300)]
+    assert min(alike) >= 0.8 and sorted(apart)[150] < 0.75
+    kept = simhash.near_groups(table(spark, rows), block_docs=blocks).where("kept").collect()
+    assert [x["_key_id"] for x in kept] == [0]
+
+
+def test_similar_pairs_join_what_all_pairs_do():
+    r = random.Random(8)
+    sets = []
+    for _ in range(12):
+        base = r.sample(range(500), r.randint(3, 40))
+        for _ in range(12):
+            sets.append(sorted({*r.sample(base, max(1, len(base) - r.randint(0, 4))), *r.sample(range(500), r.randint(0, 2))}))
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    h = np.array([x for s in sets for x in s], np.uint64)
+    for side in (None, np.arange(len(sets)) % 2):
+        want, got = list(range(len(sets))), list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                x, y = set(sets[a]), set(sets[b])
+                if (side is None or side[a] != side[b]) and len(x & y) >= 0.8 * len(x | y):
+                    p, q = plain.find(want, a), plain.find(want, b)
+                    want[max(p, q)] = min(p, q)
+        for a, b in zip(*simhash.link_similar(doc, h, np.arange(len(sets)), side), strict=True):
+            p, q = plain.find(got, a), plain.find(got, b)
+            got[max(p, q)] = min(p, q)
+        assert [plain.find(got, i) for i in range(len(sets))] == [plain.find(want, i) for i in range(len(sets))]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(50)]
