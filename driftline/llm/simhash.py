@@ -469,7 +469,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     One fingerprint of a whole text tells copies apart that share 80 % of their shingles, so here a document has the
     fingerprints of up to 2**LEVELS samples of its five-word shingles. Documents are candidates if they have samples
     in one class of the index: two texts of similarity 0.8 have such samples in about 98 of 100 cases, of 0.9 in all
-    but one in ten thousand. A class's documents are first compared with the least of them, exactly, as Jaccard
+    but one in ten thousand. Samples of short texts are too few for that, so a document of fewer than SHORT shingles,
+    and all that one can be similar to, forms a class with those that share one of its least shingle hashes: of two
+    similar texts none is missed. A class's documents are first compared with the least of them, exactly, as Jaccard
     similarity of the whole texts' shingle sets. A class that this leaves in several groups is compared within itself,
     every pair that is not in one group already (link_similar, on 64-bit shingle hashes); a large one block by block,
     so that no task holds more than two blocks. Groups are the components of all pairs that pass.
@@ -481,13 +483,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             node = b.column(0).to_numpy(zero_copy_only=False)
             for i, _, data, offs in lx.chunks(b.column(1)):
-                d, fp = chunk_samples(*shingle_hashes(data, offs, shingle), len(offs) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(node[i + d]), pa.array(fp.view(np.int64))], names=["_node", "_fp"])
-
-    samples = cut(keyed.select("_node", "_t").mapInArrow(lx.trimmed(run), "_node bigint, _fp bigint").distinct())
-    different = cut(samples.groupBy("_fp").agg(F.count("*").alias("_n")))
+                doc, h = shingle_hashes(data, offs, shingle)
+                size = np.bincount(doc, minlength=len(offs) - 1)[doc]
+                long, short = size >= SHORT, size * similarity < SHORT  # the latter are all that a shorter one is similar to
+                for prefix, (d, x) in ((False, chunk_samples(doc[long], h[long], len(offs) - 1)), (True, chunk_prefixes(doc[short], h[short], len(offs) - 1, similarity))):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i + d]), pa.array(x.view(np.int64)), pa.array(np.full(len(d), prefix))], names=["_node", "_fp", "_prefix"])
+
+    samples = cut(keyed.select("_node", "_t").mapInArrow(lx.trimmed(run), "_node bigint, _fp bigint, _prefix boolean").distinct())
+    different = cut(samples.where("not _prefix").groupBy("_fp").agg(F.count("*").alias("_n")))
     same = components(links(different.select("_fp"), different.count(), SAMPLE_BITS)).select(F.col("a").alias("_fp"), F.col("b").alias("_class"))
-    classed = cut(samples.join(same, "_fp", "left").select("_node", F.coalesce("_class", "_fp").alias("_class")).distinct())
+    sampled = samples.where("not _prefix").join(same, "_fp", "left").select("_node", F.coalesce("_class", "_fp").alias("_class"))
+    classed = cut(sampled.union(samples.where("_prefix").select("_node", "_fp")).distinct())
     hubs = classed.groupBy("_class").agg(F.min("_node").alias("_hub"), F.count("*").alias("_n")).where("_n > 1").select("_class", "_hub")
     pairs = cut(classed.join(hubs, "_class").where("_node <> _hub").select("_node", "_hub").distinct())
     release(samples, different)

@@ -270,6 +270,20 @@ def test_near_copies_of_a_base_only(spark, blocks):
     assert [x["_key_id"] for x in kept] == [0]
 
 
+def test_short_near_copies(spark):
+    r = random.Random(4)
+    rows, pairs = [], 0
+    for n in (9, 13, 17, 20, 25, 31, 45, 63):
+        for _ in range(20):
+            w = [f"v{r.randint(0, 10**6)}" for _ in range(n)]
+            more = [f"y{r.randint(0, 10**6)}" for _ in range((n - 4) // 4)]  # similarity 0.8 or little more
+            rows += [(2 * pairs, " ".join(w)), (2 * pairs + 1, " ".join(w + more))]
+            assert plain.jaccard(rows[-2][1], rows[-1][1]) >= 0.8
+            pairs += 1
+    kept = [x["doc_id"] for x in simhash.deduplicated(table(spark, rows)).collect()]
+    assert sorted(kept) == [2 * i for i in range(pairs)]
+
+
 def test_similar_pairs_join_what_all_pairs_do():
     r = random.Random(8)
     sets = []
