@@ -101,3 +101,11 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run_is_registered(spark, sf_dir):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_what_op10_rejects_goes(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, sf_dir).collect()}
+    scored = toxicity.scores(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    assert not kept & {r["doc_id"] for r in scored.where("score >= 0.3").collect()}
+    assert corpus_pipeline.TOXIC_FROM == 0.3
