@@ -138,16 +138,15 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     return text_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(lx.trimmed(scan), f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _joined(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """hits() by a shuffled join, for a benchmark whose grams are not to be broadcast."""
-    spark = docs.sparkSession
+def _joined_spans(keyed: DataFrame, table: DataFrame) -> DataFrame:
+    """(_e, at, who) of the hit rows of keyed (_e, _t): spans (at, len) and items, by a shuffled join."""
+    spark = keyed.sparkSession
     bits, lengths = 26, [r["len"] for r in table.select("len").distinct().collect()]
     slots = table.select((F.col("key").bitwiseAND((1 << bits) - 1)).cast("int").alias("s")).distinct()
     seen = np.zeros(1 << bits, bool)
     for batch in slots.toLocalIterator():
         seen[batch["s"]] = True
     sent = spark.sparkContext.broadcast(np.packbits(seen))
-    keyed = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_e", F.monotonically_increasing_id()))
 
     def windows(batches):
         packed = sent.value
@@ -166,7 +165,13 @@ def _joined(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> Da
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + d)), pa.array(at - bounds[d]), pa.array(np.full(len(at), n, np.int32)), pa.array(k.view(np.int64)), pa.array(gram, pa.binary())], names=["_e", "at", "len", "key", "gram"])
 
     found = keyed.select("_e", "_t").mapInArrow(windows, "_e bigint, at bigint, len int, key bigint, gram binary").join(table, ["len", "key", "gram"])
-    by_doc = found.groupBy("_e").agg(F.collect_set(F.struct("at", "len")).alias("at"), F.array_sort(F.collect_set("item")).alias("who"))
+    return found.groupBy("_e").agg(F.collect_set(F.struct("at", "len")).alias("at"), F.array_sort(F.collect_set("item")).alias("who"))
+
+
+def _joined(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """hits() by a shuffled join, for a benchmark whose grams are not to be broadcast."""
+    keyed = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_e", F.monotonically_increasing_id()))
+    by_doc = _joined_spans(keyed.select("_e", "_t"), table)
 
     def finish(batches):
         for pdf in batches:
@@ -187,12 +192,14 @@ def _joined(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> Da
 def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int = N, most_hit: float = 0.0, max_grams: int = MAX_GRAMS) -> DataFrame:
     """docs without contaminated rows: a row goes when more than `most_hit` of its words are hit. All columns stay.
 
-    The decision is made inside the scan, so no row moves. A benchmark too large to broadcast is refused; call hits()
-    and join.
+    The decision is made inside the scan, so no row moves. With a benchmark too large to broadcast rows are numbered,
+    and those that hits() finds by its join go by their numbers.
     """
     table = cut(grams_table(items, "item_id", "text", n).where("item is not null"))
     if table.count() > max_grams:
-        raise ValueError("the benchmark's grams are too many to broadcast; use hits() and join by id")
+        rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+        gone = _joined(rows, table, "_row", text_col).where(F.col("n_hit") > most_hit * F.col("n_words")).select("_row")
+        return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     sent = docs.sparkSession.sparkContext.broadcast(GramSet([(r["item"], r["len"], r["key"], bytes(r["gram"])) for r in table.collect()]))
     where = docs.columns.index(text_col)
 
@@ -204,11 +211,42 @@ def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int =
     return text_batches(docs).mapInArrow(lx.trimmed(scan), docs.schema)
 
 
+def _without(raw: np.ndarray, mask: np.ndarray) -> str:
+    """The text (as bytes) without the words of the mask."""
+    _, starts, ends, _, _ = _words(raw, np.array([0, len(raw)]))
+    out, at = [], 0
+    for k in np.flatnonzero(mask):
+        out.append(raw[at : starts[k]].tobytes())
+        at = ends[k]
+    return b"".join([*out, raw[at:].tobytes()]).decode()
+
+
+def _removed_joined(docs: DataFrame, table: DataFrame, text_col: str) -> DataFrame:
+    """removed_spans() by a shuffled join."""
+    rows = cut(docs.withColumn("_e", F.monotonically_increasing_id()))
+    spans = _joined_spans(rows.select("_e", F.col(text_col).alias("_t")), table).select("_e", "at")
+    where = docs.columns.index(text_col)
+
+    def scan(batches):
+        for b in batches:
+            texts = b.column(where).to_pylist()
+            for i, at in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                if at:
+                    raw = np.frombuffer(texts[i].encode(), np.uint8)
+                    a = np.array([(x["at"], x["len"]) for x in at], np.int64)
+                    size = len(_words(raw, np.array([0, len(raw)]))[1])
+                    texts[i] = _without(raw, lx.covered(size, a[:, 0], a[:, 0] + a[:, 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == where else c for k, c in enumerate(b.columns[:-1])], names=b.schema.names[:-1])
+
+    joined = rows.join(spans, "_e", "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("at").alias("_at"))
+    return text_batches(joined).mapInArrow(lx.trimmed(scan), docs.schema)
+
+
 def removed_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int = N, max_grams: int = MAX_GRAMS) -> DataFrame:
     """docs with hit words cut out of the text instead of rows dropped; the text around a cut is kept as it is."""
     table = cut(grams_table(items, "item_id", "text", n).where("item is not null"))
     if table.count() > max_grams:
-        raise ValueError("the benchmark's grams are too many to broadcast; use hits() and join by id")
+        return _removed_joined(docs, table, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(GramSet([(r["item"], r["len"], r["key"], bytes(r["gram"])) for r in table.collect()]))
     where = docs.columns.index(text_col)
 
@@ -219,13 +257,7 @@ def removed_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", n:
                 for d, (_, mask, _) in enumerate(_hit_rows(sent.value, data, offs)):
                     if mask is None:
                         continue
-                    raw = data[offs[d] : offs[d + 1]]
-                    _, starts, ends, _, _ = _words(raw, np.array([0, len(raw)]))
-                    out, at = [], 0
-                    for k in np.flatnonzero(mask):
-                        out.append(raw[at : starts[k]].tobytes())
-                        at = ends[k]
-                    texts[i + d] = b"".join([*out, raw[at:].tobytes()]).decode()
+                    texts[i + d] = _without(data[offs[d] : offs[d + 1]], mask)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == where else c for k, c in enumerate(b.columns)], names=b.schema.names)
 
     return text_batches(docs).mapInArrow(lx.trimmed(scan), docs.schema)

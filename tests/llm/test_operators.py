@@ -411,6 +411,17 @@ def test_rows_and_spans_that_go(spark):
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: "keep,  ! this", 2: None}
 
 
+def test_rows_and_spans_that_go_by_join(spark):
+    docs = table(spark).union(table(spark, [(1, "keep, w1 W2! this"), (2, None), (2, None)]))
+    items = spark.createDataFrame([(1, "w1 w2"), (2, None), (3, ROWS[0][1]), (4, ROWS[1][1])], "item_id long, text string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    for most in (0.0, 0.6):
+        clean = decontamination.cleaned(docs, items, most_hit=most, max_grams=0)
+        assert clean.columns == docs.columns and rows(clean) == rows(decontamination.cleaned(docs, items, most_hit=most))
+    assert rows(decontamination.cleaned(docs, items)) != rows(docs)
+    assert rows(decontamination.removed_spans(docs, items, max_grams=0)) == rows(decontamination.removed_spans(docs, items)) != rows(docs)
+
+
 # ---- 9
 
 
