@@ -2,7 +2,7 @@
 could not place.
 
 The model a batch is classified with is as old as the batch before, which can only add unknowns. Matches never leave
-the executors; the driver gets one count a cluster and at most the buffer's number of unknowns (the latest). State is
+the executors; the driver gets one count a cluster and all unknowns in order, a few at a time. State is
 written under its batch number before a batch counts as done, so a repeated batch starts from the same state and
 writes the same rows again.
 """
@@ -40,10 +40,35 @@ class ParallelDetector:
         self.state = pickle.loads(bytes(self.spark.read.parquet(f"{self.path}/{batch_id}").first()["blob"]))
         self.done = batch_id - 1
 
+    def _detect(self, missed: DataFrame, began: int) -> list[tuple]:
+        """Take all unknowns in order of id, a round whenever the exact machine would run one, as of that id."""
+        s, p = self.state, self.p
+        end, latest = s.cur, s.latest.copy()
+        rows: list[tuple] = []
+        part: list = []
+
+        def take() -> None:
+            s.cur = max(began, part[-1]["id"])
+            s._keep_unknown(np.array([r["id"] for r in part], np.int64), np.array([r["val"] for r in part], float))
+            part.clear()
+            size = len(s.unknown_ids)
+            if size >= p.buffer_size or (size >= p.trigger_size and s.cur - s.last_nd > p.trigger_size):
+                rows.extend(s._round())
+
+        for r in missed.toLocalIterator():
+            part.append(r)
+            if len(s.unknown_ids) + len(part) >= min(p.trigger_size, p.buffer_size):
+                take()
+        if part:
+            take()
+        s.cur = end
+        s.latest[: len(latest)] = np.maximum(s.latest[: len(latest)], latest)
+        return rows
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.done:  # a repeated batch: back to where it began
             self.restore(batch_id)
-        s, p = self.state, self.p
+        s, began = self.state, self.state.cur
         self._save(batch_id, s)
         if s.asleep.all():
             s.wake_all()
@@ -59,14 +84,7 @@ class ParallelDetector:
             s.latest[c] = max(s.latest[c], r["latest"])
             s.cur = max(s.cur, r["latest"])
         s.fall_asleep()
-        missed = placed.where(F.col("label") == UNKNOWN).orderBy(F.col("id").desc()).limit(p.buffer_size).select("id", "val").collect()[::-1]
-        rows: list[tuple] = []
-        for i in range(0, len(missed), max(1, p.trigger_size)):
-            part = missed[i : i + max(1, p.trigger_size)]
-            s._keep_unknown(np.array([r["id"] for r in part], np.int64), np.array([r["val"] for r in part], float).reshape(len(part), -1))
-            if len(s.unknown_ids) >= p.buffer_size or (len(s.unknown_ids) >= p.trigger_size and s.cur - s.last_nd > p.trigger_size):
-                rows += list(s._round())
-            s.shrink()
+        rows = self._detect(placed.where(F.col("label") == UNKNOWN).orderBy("id").select("id", "val"), began)
         match = placed.select(F.lit("match").alias("kind"), "id", "label", "dist", "cluster_id", F.lit(None).cast("array<double>").alias("val"))
         unknown = placed.where(F.col("label") == UNKNOWN).select(F.lit("unknown").alias("kind"), "id", "label", "dist", "cluster_id", "val")
         out = match.unionByName(unknown)

@@ -232,3 +232,17 @@ def test_parallel_detector_repeats_a_batch(spark, tmp_path):
     again = len(out)
     d(batches[2], 2)
     assert out[again] == out[2] and len(d.state) > 3
+
+
+def test_parallel_detector_takes_all_unknowns(spark, tmp_path):
+    from driftline.streaming.parallel import ParallelDetector
+
+    p = Params(k=2, min_examples=5, trigger=20, most_unknowns=40, forget_after=10**6)
+    rng = np.random.default_rng(1)
+    vals = np.concatenate([rng.normal(50, 0.1, (60, 2)), rng.normal(-50, 0.1, (300, 2))])
+    batch = spark.createDataFrame([(i + 100, v.tolist()) for i, v in enumerate(vals)], "id long, val array<double>")
+    known = spark.createDataFrame([(0, "a", [0.0, 0.0], 1.0, 1.0)], "id long, label string, center array<double>, radius double, distance_stddev double")
+    out = []
+    d = ParallelDetector(spark, known, p, lambda df, b: out.extend(df.where("kind = 'cluster'").collect()), state_path=str(tmp_path / "s"))
+    d(batch, 0)
+    assert {r["val"][0] > 0 for r in out} == {True, False}
