@@ -1,6 +1,6 @@
 """Licence scans by sentence rules, in the manner of sentence-matching licence finders.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits only), and a known sentence becomes
+A text is cut into sentences (at their marks and at blank lines; wrapped lines and comment leaders are spaces), each is normalised (lower case, letters and digits only), and a known sentence becomes
 its identifier. A document's identifiers, in order, are then matched against ordered rules: a rule is a sequence of
 identifiers, rules are tried from the first, and what a rule has used is not used again. Identifiers that no rule
 takes are reported as unmatched.
@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from .shared import text_batches
 
 #: A text without any of these has no licence sentence: each known sentence holds one.
-HINTS = re.compile(rb"licen[sc]|permi|redistribut|warrant|copyright|as[ -]is|endorse|public domain|spdx|cc0|liab", re.I)
-_BREAK = re.compile(r"(?<=[.!?;])\s+|\n+")
+HINTS = re.compile(rb"licen[sc]|permi|redistribut|warrant|copyright|as\W+is|endorse|public\W+domain|spdx|cc0|liab", re.I)
+_BREAK = re.compile(r"(?<=[.!?;])\s+|\n\s*\n")
+#: A comment's leader at the start of a line; a line of a leader alone is blank.
+_LEADER = re.compile(r"^[^\S\n]*(?:#+|//+|/?\*+/?|--+|;+|%+|>+|(?:dnl|REM)\b)", re.M)
+_SPDX = re.compile(r"[^\n]*spdx.licen[sc]e.identifier[^\n]*", re.I)
 _NOISE = re.compile(r"[^a-z0-9]+")
 
 # Known sentences (identifier, pattern over the normalised sentence).
@@ -84,7 +87,11 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 def identifiers(text: str) -> list[str]:
     """The known sentences of a text, in order. A sentence may hold several, each counted once."""
     out = []
+    text = _LEADER.sub("", text.replace("\r\n", "\n"))
+    if "spdx" in text.lower():  # its name ends with the line
+        text = _SPDX.sub(r"\n\n\g<0>\n\n", text)
     for part in _BREAK.split(text):
+        part = part.replace("\n", " ")
         if not HINTS.search(part.encode("utf-8", "replace")) and "later" not in part and "compliance" not in part and "obtain" not in part and "version" not in part.lower():
             continue
         norm = _NOISE.sub(" ", part.lower()).strip()

@@ -182,6 +182,17 @@ def test_licences(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_wrapped_licences():
+    gpl = "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that:\n1. Redistributions of source code must retain the above copyright\n   notice.\n2. Redistributions in binary form must reproduce the above\n   copyright notice."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted."
+    for text, want in ((gpl, "GPL-3.0-or-later"), (bsd, "BSD-2-Clause"), (isc, "ISC")):
+        for lead in ("", "# ", " * ", "// "):
+            wrapped = "\n".join(lead + line for line in text.split("\n"))
+            assert license_scan.licences(license_scan.identifiers(wrapped))[0] == [want]
+    assert license_scan.identifiers("# SPDX-License-Identifier: MIT\n# more words\nhere") == ["spdx:mit"]
+
+
 def test_rules_follow_order():
     assert license_scan.licences(["mit-notice", "mit-grant"]) == ([], ["mit-notice", "mit-grant"])
     assert license_scan.licences(["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]) == (["BSD-3-Clause"], [])
