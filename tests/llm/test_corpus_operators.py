@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
-import plain
+import corpus_plain as plain
 import public_tokenizers
 import pyarrow as pa
 import pytest

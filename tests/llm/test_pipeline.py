@@ -2,7 +2,7 @@
 
 import random
 
-import plain
+import corpus_plain as plain
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
