@@ -4,11 +4,16 @@
    crc32) is kept.
 2. The driver gets the histogram of piece lengths: at most `capacity` numbers, whatever the input.
 3. A configuration is a multiset of lengths that fits one sequence. The covering program "least number of
-   configurations that hold all pieces" is solved by multiplicative weights: each round prices the lengths by how
-   little they are covered so far, and an unbounded knapsack dynamic program finds the configuration of greatest
-   price.
-4. Rounding: whole uses of the best configurations are taken; what is left (a few pieces a configuration) is packed
-   longest first, each sequence filled by an exact subset-sum program.
+   configurations that hold all pieces" is solved by multiplicative weights. Lengths carry prices, at first their share
+   of a sequence. In a round a knapsack dynamic program prices every room; the configurations that it names, within
+   SLACK of the greatest price, are used until all but the last LAST of the pieces are covered, and covered lengths get
+   cheaper on the way. Then each price is multiplied by how far the configurations that took its length stayed below
+   the greatest price: lengths that leave room become dearer and pick their partners first in the next round.
+   Prices over the greatest price are a dual solution, so each round also proves a lower bound.
+4. Rounding: a use is a whole number of sequences from the start (a STEP of its scarcest length, at least one), so what
+   a round covers needs no more rounding. The last pieces, at most LAST of the sequences or one a length, are packed
+   longest first, each sequence filled by an exact subset-sum program. The round with the fewest sequences wins; rounds
+   end when a bound is met or nothing gets better.
 5. Pieces get ranks within their length, block by block, so that no task holds all pieces of one length; rank ranges
    map to (sequence, offset) through the plan, whose size depends on the histogram and not on the input.
 """
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +30,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lexing as lx
-from .shared import cut, text_batches
+from .shared import cut, maybe_broadcast, text_batches
 from .wordbpe import Tables, WordBpe
 
 CAPACITY = 2048
-#: Rows of one length that one task ranks.
+#: Rows of one length that one task ranks, at most.
 BLOCK_ROWS = 1 << 18
-ROUNDS = 80
+#: Rounds at most, and dynamic programs in all of them.
+ROUNDS, PROGRAMS = 16, 1200
+#: Largest part of a length's pieces that one use covers; uses between two dynamic programs.
+STEP, USES = 1 / 8, 96
+#: How far a configuration may stay below the greatest price, in rounds by turns.
+SLACK = (1e-2, 2e-3)
+#: Exponent by which a covered length gets cheaper, and the part of all sequences left to the last step.
+ETA, LAST = 0.1, 0.04
+#: Rounds end at this gap to the lower bound.
+GAP = 5e-4
 PIECES = "_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -67,44 +82,108 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return text_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(lx.trimmed(split), PIECES.format(id=kind))
 
 
-def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """The configuration of greatest total weight: unbounded knapsack over the lengths, lengths ascending."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def worths(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The greatest price that fits each room from 0 to capacity: unbounded knapsack, lengths ascending."""
+    best = np.zeros(capacity + 1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        k = fits[c]
-        if not k:
-            continue
-        total = weights[:k] + best[c - lengths[:k]]
-        j = int(total.argmax())
-        best[c], last[c] = total[j], j
-    out, c = Counter(), capacity
-    while c > 0 and last[c] >= 0:
-        out[int(last[c])] += 1
-        c -= int(lengths[last[c]])
-    return out
+        if k := fits[c]:
+            best[c] = (prices[:k] + best[c - lengths[:k]]).max()
+    return best
+
+
+def configuration(best: np.ndarray, prices: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int, slack: float) -> tuple[list[int], float]:
+    """(positions of the lengths of one configuration, how far it stays below the greatest price): the longest lengths
+    that keep it within slack, of those with pieces left."""
+    room, config, lost, left = capacity, [], 0.0, left.copy()
+    while room >= lengths[0]:
+        k = int(np.searchsorted(lengths, room, "right"))
+        loss = best[room] - prices[:k] - best[room - lengths[:k]]
+        there = left[:k] > 0
+        good = there & (loss <= slack - lost)
+        if good.any():
+            j = k - 1 - int(good[::-1].argmax())
+        elif there.any():
+            j = int(np.where(there, loss, np.inf).argmin())
+        else:
+            break
+        lost += max(0.0, float(loss[j]))
+        config.append(j)
+        left[j] -= 1
+        room -= int(lengths[j])
+    return config, lost + float(best[room])
+
+
+@dataclass
+class Cover:
+    """One round: [(positions of lengths, sequences)] of the program and of the last step, and the round's bound."""
+
+    uses: list[tuple[list[int], int]]
+    last: list[tuple[list[int], int]]
+    bound: float
+    greatest: float  # price of a configuration
+    programs: int
 
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.uses) + sum(n for _, n in self.last)
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[Counter, float]]:
-    """Configurations and how often each is used, covering the counts, by multiplicative weights."""
-    done = np.zeros(len(lengths))
-    used: dict[tuple, float] = {}
-    step = 1.0 / rounds * 12
+
+def cover(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int, slack: float) -> Cover:
+    """Cover all pieces once, by the prices."""
+    left, m = counts.copy(), len(counts)
     total = float((lengths * counts).sum()) / capacity
-    for _ in range(rounds * 4):
-        share = done / counts
-        if share.min() >= 1:
-            break
-        low = share.min()
-        weight = np.exp(-np.minimum(40.0, (share - low) / step)) / counts
-        config = price(weight, lengths, capacity)
-        use = min(counts[j] * step / n for j, n in config.items())
-        use = max(use, total * step / 50)
+    uses: list[tuple[list[int], int]] = []
+    bound, greatest, programs = 0.0, 1.0, 0
+    while float((lengths * left).sum()) / capacity > max(2.0, min(m, LAST * total)):
+        open_ = np.flatnonzero(left)
+        size = lengths[open_]
+        price = prices[open_] * np.exp(-ETA * (1 - left[open_] / counts[open_]))
+        best = worths(price, size, capacity)
+        if not programs:
+            greatest = float(best[capacity])
+            bound = float((counts * price).sum()) / greatest
+        programs += 1
+        tol = slack * best[capacity]
+        for k in range(USES):
+            config, lost = configuration(best, price, size, left[open_], capacity, tol)
+            if not config or (k and lost > 4 * tol):
+                break
+            mult = Counter(config)
+            times = min(min(max(1, int(STEP * counts[open_[j]] / a)), int(left[open_[j]] // a)) for j, a in mult.items())
+            for j, a in mult.items():
+                left[open_[j]] -= a * times
+            uses.append(([int(open_[j]) for j in config], times))
+    last, rest, sizes = [], left.tolist(), lengths.tolist()
+    while any(rest):
+        config = fill(sizes, rest, capacity)
+        times = min(rest[j] // n for j, n in config.items())
         for j, n in config.items():
-            done[j] += n * use
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + use
-    return [(Counter(dict(k)), x) for k, x in used.items()]
+            rest[j] -= n * times
+        last.append((list(config.elements()), times))
+    return Cover(uses, last, bound, greatest, programs)
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[Cover, float]:
+    """(the round with the fewest sequences, the greatest lower bound), by multiplicative weights on the lengths."""
+    prices = lengths / capacity
+    bound = float((lengths * counts).sum()) / capacity
+    won, since, programs = None, 0, 0
+    for r in range(rounds):
+        found = cover(lengths, counts, prices, capacity, SLACK[r % 2])
+        programs += found.programs
+        bound, since = max(bound, found.bound), since + 1
+        if won is None or found.sequences < won.sequences:
+            won, since = found, 0
+        if won.sequences <= np.ceil(bound - 1e-6) or won.sequences <= bound * (1 + GAP) or since > 8 or programs > PROGRAMS:
+            break
+        below, taken = np.zeros(len(counts)), np.zeros(len(counts))
+        for config, times in found.uses + found.last:
+            at = np.array(config)
+            np.add.at(below, at, -times * np.log(prices[at].sum() / found.greatest))
+            np.add.at(taken, at, times)
+        prices = prices * np.exp(below / taken)
+    return won, bound
 
 
 def fill(lengths: list[int], left: list[int], capacity: int) -> Counter:
@@ -134,34 +213,20 @@ def fill(lengths: list[int], left: list[int], capacity: int) -> Counter:
     return out
 
 
-#: Shares of the fractional solution that are tried as whole uses; the rest is filled sequence by sequence.
-SHARES = (1.0, 0.9, 0.7, 0.4, 0.0)
-
-
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """([(length, first rank, pieces, first sequence, offset)], sequences): piece first rank + i of that length goes to
-    sequence first sequence + i. Of several roundings the one with the fewest sequences is taken, the first that needs
-    no more than all tokens together do."""
+    sequence first sequence + i."""
     lengths = sorted(k for k in histogram if k < capacity and histogram[k])
-    counts = [histogram[k] for k in lengths]
-    alone = histogram.get(capacity, 0)
     uses: list[tuple[list[int], int]] = []
+    if alone := histogram.get(capacity, 0):
+        uses.append(([capacity], alone))
     if lengths:
-        solved = fractional(np.array(lengths), np.array(counts, float), capacity, rounds)
-        solved.sort(key=lambda c: sum(lengths[j] * n for j, n in c[0].items()), reverse=True)
-        least = -(-sum(k * n for k, n in zip(lengths, counts, strict=True)) // capacity)
-        best = None
-        for share in SHARES:
-            found = rounded(lengths, counts, solved, capacity, share)
-            n = sum(times for _, times in found)
-            if best is None or n < best:
-                best, uses = n, found
-            if n == least:
-                break
+        won, _ = solve(np.array(lengths), np.array([histogram[k] for k in lengths], np.int64), capacity, rounds)
+        uses += [([lengths[j] for j in config], times) for config, times in won.uses + won.last]
     rows: list[tuple[int, int, int, int, int]] = []
     rank: Counter = Counter()
     sequence = 0
-    for config, times in [([capacity], alone)] * (alone > 0) + uses:
+    for config, times in uses:
         at = 0
         for length in config:
             rows.append((length, rank[length], times, sequence, at))
@@ -171,31 +236,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     return rows, sequence
 
 
-def rounded(lengths: list[int], counts: list[int], solved: list[tuple[Counter, float]], capacity: int, share: float) -> list[tuple[list[int], int]]:
-    """[(lengths of a sequence, sequences)]: whole uses of the configurations, fullest first, then full sequences from
-    what is left, longest pieces first."""
-    left, out = list(counts), []
-
-    def take(config: Counter, times: int) -> None:
-        out.append(([lengths[j] for j in sorted(config.elements(), reverse=True)], times))
-        for j, n in config.items():
-            left[j] -= n * times
-
-    for config, x in solved if share else ():
-        times = min([int(x * share), *(left[j] // n for j, n in config.items())])
-        if times > 0:
-            take(config, times)
-    while any(left):
-        config = fill(lengths, left, capacity)
-        take(config, min(left[j] // n for j, n in config.items()))
-    return out
-
-
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The pieces (a stable table with `_id`, `piece`, `start`, `length`) with sequence_id and offset.
 
-    Rows that repeat an id are packed each for itself; null ids are ids like others. An empty table gives an empty
-    result.
+    Rows that repeat an id are packed each for itself; null ids are ids like others; equal lengths are ranked by id. An
+    empty table gives an empty result. Columns named _block, _before or _rank are not allowed.
     """
     spark = cut_pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -203,13 +248,16 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS,
     rows.sort()
     keys = np.array([(r[0] << 44) + r[1] for r in rows], np.int64)
     sent = spark.sparkContext.broadcast((keys, np.array([r[1] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)))
-    blocks = max(1, -(-sum(histogram.values()) // block_rows))
-    hashed = cut_pieces.withColumn("_block", F.pmod(F.xxhash64("_id", "piece", "start", "length"), F.lit(blocks)).cast("int"))
+    # a length that many pieces have is ranked in many blocks
+    share = -(-sum(histogram.values()) // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = [-(-histogram.get(k, 0) // max(1, min(block_rows, share))) or 1 for k in range(1, capacity + 1)]
+    of = F.element_at(F.split(F.lit(",".join(map(str, blocks))), ","), F.col("length").cast("int")).cast("int")
+    hashed = cut_pieces.withColumn("_block", F.pmod(F.xxhash64("_id", "piece", "start", "length"), of).cast("int"))
     order = ["_id", "piece", *[c for c in cut_pieces.columns if c not in ("_id", "piece", "length")]]
     sizes = hashed.groupBy("length", "_block").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("_n")
     ranked = hashed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_block").orderBy(*order)).cast("long") - 1)
-    ranked = ranked.join(before, ["length", "_block"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_block")
+    ranked = ranked.join(maybe_broadcast(before, sum(blocks), 40), ["length", "_block"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_block")
 
     def place(batches):
         keys, firsts, seqs, offs = sent.value
@@ -226,7 +274,11 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS,
 
 
 def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset. Null texts are empty: one piece
-    of the end id alone."""
+    """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null texts are empty: one piece of the end id alone. Very long texts are cut into many pieces. Rows that repeat an
+    id or a text, and null ids, are packed each for itself. An empty table gives an empty result. Other columns are
+    not read, whatever their names.
+    """
     held = cut(pieces(docs, tokenizer, id_col, text_col, capacity))
     return pack(held, capacity).select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -469,6 +469,20 @@ def test_packing(spark):
     assert packing.packed(empty(spark), TOKENIZER).count() == 0
 
 
+def best_fit(histogram, capacity):
+    """Sequences that best fit decreasing needs."""
+    room, n = [0] * (capacity + 1), 0
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            at = next((r for r in range(length, capacity + 1) if room[r]), None)
+            if at is None:
+                n, at = n + 1, capacity
+            else:
+                room[at] -= 1
+            room[at - length] += 1
+    return n
+
+
 def test_plans():
     r = random.Random(4)
     for case in range(25):
@@ -487,15 +501,40 @@ def test_plans():
             for first, count in sorted(own):
                 assert first == at
                 at += count
-        bins = []
-        for length in sorted((k for k, v in histogram.items() for _ in range(v)), reverse=True):  # first fit decreasing
-            at = next((i for i, b in enumerate(bins) if b + length <= 100), None)
-            if at is None:
-                bins.append(length)
-            else:
-                bins[at] += length
-        assert n <= 1.02 * len(bins) + 1, (case, n, len(bins))
+        assert n <= best_fit(histogram, 100), case
     assert packing.plan({}, 100) == ([], 0)
+    assert packing.plan({100: 5}, 100) == ([(100, 0, 5, 0, 0)], 5)
+
+
+def test_sequences_come_from_the_program():
+    rng = np.random.default_rng(0)
+    cases = [(np.clip(rng.lognormal(5.5, 0.9, 20_000).astype(int), 1, 2047), 0.001), (rng.integers(600, 1401, 3000), 0.01), (rng.integers(300, 701, 4000), 0.002), (rng.integers(400, 1001, 300), 0.02)]
+    for drawn, gap in cases:
+        histogram = Counter(drawn.tolist())
+        sizes = np.array(sorted(histogram))
+        won, bound = packing.solve(sizes, np.array([histogram[int(k)] for k in sizes]), 2048)
+        n = won.sequences
+        assert sum(times for _, times in won.uses) >= 0.9 * n
+        assert bound <= n <= best_fit(histogram, 2048) and n <= bound * (1 + gap) + 1
+
+
+def test_prices_of_rooms():
+    sizes, prices = np.array([3, 5, 8]), np.array([1.0, 2.0, 3.5])
+    best = packing.worths(prices, sizes, 20)
+    for room in range(21):
+        want = max(a + 2 * b + 3.5 * c for a in range(7) for b in range(5) for c in range(3) if 3 * a + 5 * b + 8 * c <= room)
+        assert best[room] == pytest.approx(want)
+
+
+def test_many_pieces_of_one_length(spark):
+    held = spark.range(3000).select(F.when(F.col("id") < 2500, 0).otherwise(F.col("id")).alias("_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 3 == 0, 700).otherwise(F.lit(300)).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
+    rows = packing.pack(held, block_rows=7).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+    assert sorted(r["ids_crc32"] for r in rows) == list(range(3000)) and len(by) == 667  # 500 of two each, 167 of six short ones
 
 
 # ---- 10
