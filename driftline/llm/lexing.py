@@ -98,6 +98,16 @@ def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds): the words, each followed by one space; word k is bytes[bounds[k] : bounds[k + 1] - 1]."""
+    size = ends - starts
+    bounds = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(int(bounds[-1]), 0x20, np.uint8)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(bounds[:-1], size) + inside] = data[np.repeat(starts, size) + inside]
+    return out, bounds
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h * M1
     h ^= h >> _S32
