@@ -67,6 +67,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, from `name` by underscores before it."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 def id_crc(col: str) -> Column:
     """crc32 of an id written as text, the number that assigns held-out folds. A null id counts as fold 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(0))

@@ -1,8 +1,7 @@
 """Substring dedup by recompression: repeated passages are found through symbols that equal texts must share.
 
 Levels of recompression rename a text's words: first each run of one symbol gets a name, then each pair whose left
-symbol falls in one half of the alphabet and whose right symbol falls in the other, until no symbol fits a window any
-more. Names and halves are hashes of the symbols alone, so a name means the same everywhere and naming needs no
+symbol falls in one half of the alphabet and whose right symbol falls in the other, until symbols reach half a window. Names and halves are hashes of the symbols alone, so a name means the same everywhere and naming needs no
 exchange; whether a name is shared is settled by Spark rounds over all documents. A symbol depends on a known stretch
 of words around it, its context; wherever these words stand, the same symbol stands.
 
@@ -97,7 +96,7 @@ def elected(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np
     best = [np.zeros(n, np.uint64) for _ in range(window.bit_length())]
     named: list[tuple[np.ndarray, np.ndarray]] = []
     d0, d1 = bounds[:-1], bounds[1:] - window
-    for level, start, name, lo, hi in symbols(h, bounds, window):
+    for level, start, name, lo, hi in symbols(h, bounds, window // 2 + 1):
         rank = np.uint64(min(level, 31)) << np.uint64(59) | (lx._mix(name ^ np.uint64(level)) >> np.uint64(37)) << np.uint64(32) | (_LOW - start.astype(np.uint64))
         named.append((start, name))
         of = np.searchsorted(bounds, lo, "right") - 1
@@ -126,7 +125,7 @@ def elected(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np
         if len(here) and len(start):
             k = np.minimum(np.searchsorted(start, own[here]), len(start) - 1)
             hit = start[k] == own[here]
-            names[here[hit]] = name[k[hit]] ^ np.uint64(j) * lx.M2
+            names[here[hit]] = name[k[hit]] ^ np.uint64(j * int(lx.M2) % (1 << 64))
     return names, at[first], at[stop - 1] + 1
 
 
