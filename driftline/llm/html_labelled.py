@@ -38,22 +38,24 @@ pagination|pager|page-links|teaser|teasers|tags|tag-list|trending|most-read|popu
 HOLDERS = """content|main-content|post|post-content|entry|entry-content|article|article-body|story|story-body|text|body-text|page|page-content|main|blog-post|single|hentry|container|wrapper|row|col|section|block|box|inner|lead|intro|summary|figure|caption|recipe|steps|share-price|notice-board|related-work|item|list|table|quote""".split("|")
 
 
-def _furniture(r: random.Random) -> str:
+def _furniture(r: random.Random, between: bool = False) -> str:
+    """`between`: among the blocks of an article, where something must mark it."""
     words = r.choice(PITCHES)
     links = "".join(f"<li><a href='/{k}'>{r.choice(LABELS)}</a></li>" for k in range(r.randint(2, 6)))
     flat = r.choice([" ", " | ", ""]).join(f"<a href='/{k}'>{r.choice(LABELS)}</a>" for k in range(r.randint(2, 6)))
-    kind, name = r.randrange(15), r.choice(MARKED)
+    kind, name = r.randrange(14 if between else 15), r.choice(MARKED)
     mark = r.choice([f"class='{name}'", f'class="{name}"', f"id={name}", f"role='{name}'", f'class="box {name}"', f'id="{name}" class="inner"'])
     inside = r.choice([words, f"<p>{words}.</p>", f"<h3>{words}</h3><ul>{links}</ul>", flat, f"<div><span>{words}</span> <a href='#'>{r.choice(LABELS)}</a></div>", f"<p>{words}. {r.choice(SENTENCES)}</p><p>{r.choice(SENTENCES)}</p>"])
     if kind < 9:
-        return f"<{(e := r.choice(['div', 'div', 'section', 'ul', 'p', 'span']))} {mark}>{inside}</{e}>"
+        e = r.choice(["div", "div", "section", "aside", "p"])
+        return f"<{e} {mark}>{inside if e != 'p' else r.choice([words, flat])}</{e}>"
     return [
         f"<nav><ul>{links}</ul></nav>",
         f"<footer><p>{words}</p>{flat}</footer>",
         f"<aside><h4>{words}</h4><ul>{links}</ul></aside>",
         f"<form><label>{r.choice(LABELS)}</label><input><button>{r.choice(LABELS)}</button></form>",
         f"<header><a href='/'>{words}</a>{flat}</header>",
-        r.choice([f"<div>{flat}</div>", f"<ul>{links}</ul>", f"<menu>{links}</menu>", f"<button>{words}</button>", f"<dialog>{words}</dialog>", f"<article><p>{words}.</p><p>{r.choice(SENTENCES)}</p></article>"]),
+        r.choice([f"<div>{flat}</div>", f"<ul>{links}</ul>", f"<menu>{links}</menu>", f"<button>{words}</button>", f"<dialog>{words}</dialog>", f"<aside><article><p>{words}.</p><p>{r.choice(SENTENCES)}</p></article></aside>"]),
     ][kind - 9]
 
 
@@ -63,7 +65,7 @@ def _block(r: random.Random) -> str:
     return r.choice([
         f"<p>{text}</p>", f"<p>{linked}</p>", f"<p><b>{text}</b></p>", f"<p>{text}<br>{linked}</p>", f"<div>{text}</div>", f"<h2>{r.choice(SENTENCES)}</h2><p>{text}</p>",
         f"<ul><li>{text}</li><li>{linked}</li></ul>", f"<ol><li>{text}</li></ol>", f"<blockquote>{text}</blockquote>", f"<table><tr><td>{text}</td><td>{r.choice(SENTENCES)}</td></tr></table>",
-        f"<pre>{text}</pre>", f"<section><h3>{r.choice(SENTENCES)}</h3><p>{text}</p></section>", f"<figure><figcaption>{text}</figcaption></figure>", f"<dl><dt>{r.choice(SENTENCES)}</dt><dd>{text}</dd></dl>", text,
+        f"<pre>{text}</pre>", f"<section><h3>{r.choice(SENTENCES)}</h3><p>{text}</p></section>", f"<figure><figcaption>{text}</figcaption></figure>", f"<dl><dt>{r.choice(SENTENCES)}</dt><dd>{text}</dd></dl>", f"{text}<br>",
         f"<div class='{r.choice(HOLDERS)}'><p>{text}</p></div>", f"<p><em>{text}</em> <span>{r.choice(SENTENCES)}</span></p>", f"<p>{text}<p>{linked}", f"<details><summary>{r.choice(SENTENCES)}</summary>{text}</details>",
     ])
 
@@ -76,7 +78,9 @@ def page(r: random.Random) -> list[tuple[str, bool]]:
     for _ in range(r.randint(2, 7)):
         parts.append((_block(r), True))
         if r.random() < 0.4:
-            parts.append((_furniture(r), False))
+            parts.append((_furniture(r, True), False))
+    if r.random() < 0.4:
+        parts.append((f"<p>{r.choice(['Why?', 'Gone.', 'Not yet.', 'Last.'])}</p>", True))
     if r.random() < 0.3:  # comments inside the article's own element
         parts.append((f"<section class='{r.choice(['comments', 'discussion', 'replies', 'reader-comments'])}'><p>{r.choice(SENTENCES)}</p><p>{r.choice(SENTENCES)}</p></section>", False))
     parts += [(closed, False), *((_furniture(r), False) for _ in range(r.randint(1, 4))), ("</body></html>", False)]

@@ -1,15 +1,19 @@
+import html
 import random
+import re
+import time
 from collections import Counter
 
-import numpy as np
 import corpus_plain as plain
+import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftline.llm import components, decontamination, exact_dedup, html_extract, langid, license_scan, packing, sharding, simhash, substring_dedup, toxicity
+from driftline.llm import components, decontamination, exact_dedup, html_extract, html_labelled, langid, license_scan, packing, sharding, simhash, substring_dedup, toxicity
 from driftline.llm import lexing as lx
 from driftline.llm.wordbpe import Tables, WordBpe
 
@@ -389,6 +393,58 @@ def test_pages_without_elements_for_articles():
     assert [b[:9] for b in html_extract.extract(page)] == ["The first", "The secon"]
 
 
+def page_words(parts):
+    return Counter(re.sub(r"<[^>]*>", " ", " ".join(part for part, content in parts if content)).split())
+
+
+def test_extraction_of_pages_not_learned_from():
+    right = 0
+    for parts in html_labelled.pages(200, seed=99):
+        right += page_words(parts) == Counter(" ".join(html_extract.extract("".join(part for part, _ in parts))).split())
+    assert right >= 180
+
+
+def test_article_text_of_given_pages():
+    pages = pd.read_parquet("/root/testdata/sf0.001/pages.parquet")
+    for page in pages.html:
+        if page is None or (m := re.search(r"<article>(.*)</article>", page, re.S)) is None:
+            continue
+        blocks = (" ".join(html.unescape(re.sub(r"</?b>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1|div)[^>]*>", m[1]))
+        assert html_extract.extract(page) == [x for x in blocks if x]
+
+
+def test_names_that_only_look_like_furniture():
+    for name, there in (("share-price", True), ("notice-board", True), ("story", True), ("sidebar", False), ("cookie-banner", False), ("comments", False), ("ad", False)):
+        page = f"<article><p>One two three four five six seven.</p><div class='{name}'><p>Some inner words stand here.</p></div><p>More words of the text itself.</p></article>"
+        assert ("inner" in " ".join(html_extract.extract(page))) == there, name
+
+
+@pytest.mark.parametrize("page", ["<b>x" * 200_000, "<div>x" * 200_000, "<p>x" * 200_000, "<li>x" * 200_000, "<td><b></i>" * 100_000, "<a href='" * 100_000, "<a " * 200_000, "<!--" * 200_000, "</b>" * 200_000, "<" * 500_000])
+def test_time_grows_with_length(page):
+    html_extract.weights()
+    began = time.process_time()
+    html_extract.extract(page)
+    assert time.process_time() - began < 4
+
+
+def test_open_features_are_those_of_the_open_elements():
+    r = random.Random(6)
+    tags = ["div", "p", "li", "ul", "b", "td", "table", "span", "article", "header"]
+    for _ in range(200):
+        page = "".join(r.choice([f"<{r.choice(tags)} class=a{r.choice('xyz')}>", f"</{r.choice(tags)}>", "word "]) for _ in range(40))
+        held = []
+        for _, _, features, same in html_extract.events(page):
+            assert same <= len(held) and held[:same] == features[:same]
+            held = list(features)
+
+
+def test_pages_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<p>some words</p>", "kept", "u")], "page_id long, html string, _html string, Text string")
+    got = html_extract.texts(df)
+    assert got.columns == ["page_id", "_html", "text", "n_chars"] and got.first()[1:] == ("kept", "some words", 10)
+    assert html_extract.texts(df.limit(0)).count() == 0
+
+
 def test_best_region_is_the_greatest_sum():
     r = random.Random(0)
     for _ in range(300):
