@@ -5,9 +5,9 @@ symbol falls in one half of the alphabet and whose right symbol falls in the oth
 exchange; whether a name is shared is settled by Spark rounds over all documents. A symbol depends on a known stretch
 of words around it, its context; wherever these words stand, the same symbol stands.
 
-Each window of `window` words elects the highest symbol whose context it holds, of equal ones that of greatest hash,
-of those the first. Equal windows elect the same symbol at the same place. So a window can repeat only if its symbol
-is shared:
+Each window of `window` words elects the highest symbol of which it holds half a window of words from its context's
+first on, of equal ones that of greatest hash, of those the first. Equal windows elect the same symbol at the same
+place. So a window can repeat only if its symbol, named with these words, is shared:
 
 1. naming round: elected symbols, each with the range of windows that elected it and a 128-bit digest (BLAKE2b) of the
    words under them, its span, go through one count by name; names seen once end there;
@@ -88,19 +88,20 @@ def symbols(h: np.ndarray, bounds: np.ndarray, longest: int):
 
 def elected(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(names, first windows, windows after the last): one row for each elected symbol of a chunk, windows by start."""
-    n, at = len(h), lx.window_starts(bounds, window)
+    n, at, half = len(h), lx.window_starts(bounds, window), window // 2 + 1
     z = np.zeros(0, np.int64)
     if not len(at):
         return np.zeros(0, np.uint64), z, z
     # best[k][s] holds for the windows s to s + 2**k - 1
-    best = [np.zeros(n, np.uint64) for _ in range(window.bit_length())]
-    named: list[tuple[np.ndarray, np.ndarray]] = []
+    best = [np.zeros(n, np.uint64) for _ in range((window - half + 1).bit_length())]
+    named: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     d0, d1 = bounds[:-1], bounds[1:] - window
-    for level, start, name, lo, hi in symbols(h, bounds, window // 2 + 1):
-        rank = np.uint64(min(level, 31)) << np.uint64(59) | (lx._mix(name ^ np.uint64(level)) >> np.uint64(37)) << np.uint64(32) | (_LOW - start.astype(np.uint64))
-        named.append((start, name))
+    for level, start, name, lo, _ in symbols(h, bounds, half):
+        level = min(level, 31)
+        rank = np.uint64(level) << np.uint64(59) | (lx._mix(name ^ np.uint64(level)) >> np.uint64(37)) << np.uint64(32) | (_LOW - start.astype(np.uint64))
+        named.append((start, name, lo))
         of = np.searchsorted(bounds, lo, "right") - 1
-        a, b = np.maximum(hi - window, d0[of]), np.minimum(lo, d1[of])
+        a, b = np.maximum(lo + half - window, d0[of]), np.minimum(lo, d1[of])
         ok = a <= b
         a, b, rank = a[ok], b[ok], rank[ok]
         k = np.frexp(b - a + 1)[1] - 1
@@ -119,20 +120,21 @@ def elected(h: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np
     first = np.flatnonzero(edge)
     stop = np.append(first[1:], len(at))
     level, own = (chosen[first] >> np.uint64(59)).astype(np.int64), (_LOW - (chosen[first] & _LOW)).astype(np.int64)
-    names = np.zeros(len(first), np.uint64)
-    for j, (start, name) in enumerate(named):
-        here = np.flatnonzero(level == min(j, 31)) if j < 31 else np.flatnonzero((level == 31) & (names == 0))
+    names, since = np.zeros(len(first), np.uint64), np.zeros(len(first), np.int64)
+    for j, (start, name, lo) in enumerate(named):
+        here = np.flatnonzero(level == min(j, 31))
         if len(here) and len(start):
             k = np.minimum(np.searchsorted(start, own[here]), len(start) - 1)
             hit = start[k] == own[here]
-            names[here[hit]] = name[k[hit]] ^ np.uint64(j * int(lx.M2) % (1 << 64))
-    return names, at[first], at[stop - 1] + 1
+            names[here[hit]], since[here[hit]] = name[k[hit]], lo[k[hit]]
+    return lx._mix(names ^ lx.Windows(h).at(since, half)), at[first], at[stop - 1] + 1
 
 
-def _digests(raw: memoryview, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
-    """128-bit digests of stretches of the joined words."""
-    digest = hashlib.blake2b
-    return pa.array([digest(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], pa.binary())
+def _digests(text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[pa.Array]:
+    """128-bit digests of stretches of the joined words, in two halves."""
+    digest, raw = hashlib.blake2b, text.data
+    found = np.frombuffer(b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]), np.int64)
+    return [pa.array(found[0::2]), pa.array(found[1::2])]
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -150,7 +152,7 @@ def _elect(window: int):
                 name, lo, hi = elected(lx.word_hashes(data, starts, ends), bounds, window)
                 flat, at = lx.joined(data, starts, ends)
                 d = np.searchsorted(bounds, lo, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), _digests(flat.data, at[lo], at[hi + window - 1] - 1), pa.array(k[i + d]), pa.array(k2[i + d]), pa.array(lo - bounds[d]), pa.array(hi - bounds[d])], names=["name", "span", "_k", "_k2", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *_digests(flat, at[lo], at[hi + window - 1] - 1), pa.array(k[i + d]), pa.array(k2[i + d]), pa.array(lo - bounds[d]), pa.array(hi - bounds[d])], names=["name", "s1", "s2", "_k", "_k2", "lo", "hi"])
 
     return run
 
@@ -173,7 +175,7 @@ def _digest_windows(window: int):
                 only = np.repeat(alone[own], size)
                 for a in range(0, len(at), 1 << 16):
                     part = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([_digests(text.data, where[at[part]], where[at[part] + window] - 1), pa.array(k[i + d[part]]), pa.array(k2[i + d[part]]), pa.array((at - bounds[d])[part]), pa.array(only[part])], names=["w", "_k", "_k2", "at", "alone"])
+                    yield pa.RecordBatch.from_arrays([*_digests(text, where[at[part]], where[at[part] + window] - 1), pa.array(k[i + d[part]]), pa.array(k2[i + d[part]]), pa.array((at - bounds[d])[part]), pa.array(only[part])], names=["w1", "w2", "_k", "_k2", "at", "alone"])
 
     return run
 
@@ -222,19 +224,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         return tables[-1]
 
     try:
-        marks = held(base.select("_k", "_k2", "_t").mapInArrow(lx.trimmed(_elect(window)), "name bigint, span binary, _k bigint, _k2 int, lo bigint, hi bigint"))
+        marks = held(base.select("_k", "_k2", "_t").mapInArrow(lx.trimmed(_elect(window)), "name bigint, s1 bigint, s2 bigint, _k bigint, _k2 int, lo bigint, hi bigint"))
         shared = held(marks.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
         common = held(marks.join(maybe_broadcast(shared, shared.count(), 24), "name"))
         release(marks, shared)
-        spans = held(common.groupBy("name", "span").agg(F.count("*").alias("n"), F.min(F.struct("_k", "_k2", "lo", "hi")).alias("one")))
-        whole = common.join(spans.where("n > 1").select("name", "span"), ["name", "span"]).select("_k", "_k2", "lo", "hi")
+        spans = held(common.groupBy("name", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("_k", "_k2", "lo", "hi")).alias("one")))
+        whole = common.join(spans.where("n > 1").select("name", "s1", "s2"), ["name", "s1", "s2"]).select("_k", "_k2", "lo", "hi")
         several = spans.groupBy("name").agg(F.count("*").alias("m")).where("m > 1").select("name")
         apart = spans.join(several, "name").select("one.*", (F.col("n") == 1).alias("alone"))
         places = held(apart.groupBy("_k", "_k2").agg(F.collect_list(F.struct("lo", "hi", "alone")).alias("ranges")))
-        found = held(_by_document(base, places, "inner").select("_k", "_k2", "_t", "ranges").mapInArrow(lx.trimmed(_digest_windows(window)), "w binary, _k bigint, _k2 int, at bigint, alone boolean"))
+        found = held(_by_document(base, places, "inner").select("_k", "_k2", "_t", "ranges").mapInArrow(lx.trimmed(_digest_windows(window)), "w1 bigint, w2 bigint, _k bigint, _k2 int, at bigint, alone boolean"))
         release(places)
-        twice = held(found.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w"))
-        parts = islands(found.where("alone").join(maybe_broadcast(twice, twice.count(), 48), "w").select("_k", "_k2", "at"))
+        twice = held(found.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"))
+        parts = islands(found.where("alone").join(maybe_broadcast(twice, twice.count(), 48), ["w1", "w2"]).select("_k", "_k2", "at"))
         return cut(whole.union(parts).groupBy("_k", "_k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).mapInArrow(_merge_ranges, "_k bigint, _k2 int, ranges array<struct<lo: bigint, hi: bigint>>"))
     finally:
         release(*tables)
