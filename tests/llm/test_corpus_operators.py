@@ -1,10 +1,12 @@
 import html
 import random
 import re
+import textwrap
 import time
 from collections import Counter
 
 import corpus_plain as plain
+import licence_texts
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -13,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftline.llm import components, decontamination, exact_dedup, html_extract, html_labelled, langid, license_scan, packing, sharding, simhash, substring_dedup, toxicity
+from driftline.llm import components, decontamination, exact_dedup, html_extract, html_labelled, langid, license_scan, license_sentences, packing, sharding, simhash, substring_dedup, toxicity
 from driftline.llm import lexing as lx
 from driftline.llm.wordbpe import Tables, WordBpe
 
@@ -178,23 +180,72 @@ def test_code_lengths_are_those_of_the_trees():
 
 
 def test_licences(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies. The software is provided \"as is\", without warranty of any kind."
-    rows = [(1, "Some words.\nLicensed under the Apache License, Version 2.0.\nMore."), (2, mit), (3, "Released under the MIT License."), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "Licensed under CC BY-NC 4.0."), (6, "a licence to kill"), (7, None), (8, ""), (9, "SPDX-License-Identifier: Zlib"), (10, "In no event shall the author be liable"), (11, "Released under the MIT License. Licensed under CC BY-NC 4.0. Released under the MIT License.")]
-    got = {r["doc_id"]: r for r in license_scan.scan(table(spark, rows)).collect()}
-    assert {k: v["licences"] for k, v in got.items()} == {1: "Apache-2.0", 2: "MIT", 3: "MIT", 4: "GPL-3.0", 5: "CC-BY-NC-4.0", 6: "", 7: "", 8: "", 9: "zlib", 10: "", 11: "MIT,CC-BY-NC-4.0"}
-    assert got[10]["unmatched"] == "no-liability" and got[2]["n_sentences"] == 3
+    rows = [(1, "Some words.\nLicensed under the Apache License, Version 2.0.\nMore."), (3, "Released under the MIT License."), (4, "word | word |\nThis work is licensed under the GNU General Public License, version 3."), (5, "Licensed under CC BY-NC 4.0."), (6, "a licence to kill"), (7, None), (8, ""), (9, "SPDX-License-Identifier: Zlib"), (10, "In no event shall the author be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."), (11, "Released under the MIT License. Licensed under CC BY-NC 4.0. Released under the MIT License."), (3, "Released under the MIT License."), (None, "Released under the MIT License."), (12, "word " * 400_000 + ".\nReleased under the MIT License.\n" + "word " * 1000)]
+    got = [(r["doc_id"], r["licences"], r["unmatched"]) for r in license_scan.scan(table(spark, rows).withColumn("licences", F.lit(1))).collect()]
+    want = {1: "Apache-2.0", 3: "MIT", 4: "GPL-3.0", 5: "CC-BY-NC-4.0", 6: "", 7: "", 8: "", 9: "Zlib", 10: "", 11: "MIT,CC-BY-NC-4.0", None: "MIT", 12: "MIT"}
+    assert len(got) == len(rows) and {k: v for k, v, _ in got} == want
+    assert {k: u for k, _, u in got if u} == {10: "mit-liability"}
     assert license_scan.scan(empty(spark)).count() == 0
 
 
-def test_wrapped_licences():
-    gpl = "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
-    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that:\n1. Redistributions of source code must retain the above copyright\n   notice.\n2. Redistributions in binary form must reproduce the above\n   copyright notice."
-    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted."
-    for text, want in ((gpl, "GPL-3.0-or-later"), (bsd, "BSD-2-Clause"), (isc, "ISC")):
-        for lead in ("", "# ", " * ", "// "):
-            wrapped = "\n".join(lead + line for line in text.split("\n"))
-            assert license_scan.licences(license_scan.identifiers(wrapped))[0] == [want]
-    assert license_scan.identifiers("# SPDX-License-Identifier: MIT\n# more words\nhere") == ["spdx:mit"]
+@pytest.mark.parametrize("name", sorted(licence_texts.TEXTS))
+def test_published_texts(name):
+    for width in (40, 66, 79, 10_000):
+        for lead in ("", "# ", " * ", "// ", "    "):
+            lines = [line for p in licence_texts.TEXTS[name] for line in [*textwrap.wrap(p, width, break_on_hyphens=False), ""]]
+            text = "Some words before.\n\n" + "\n".join(lead + line for line in lines) + "\n\nint main() { return 0; }\n"
+            found, left = license_scan.licences(license_scan.identifiers(text))
+            assert found == [name], (width, lead, found, left)
+            assert set(left) <= {"zlib-warranty"}
+
+
+def plain_identifiers(sentences):
+    """Sentences given one by one, looked up by comparing each with every known one."""
+    out = []
+    for s in sentences:
+        words = license_scan.normalised(s)
+        for name, text in license_sentences.SENTENCES + license_sentences.gnu_sentences():
+            pattern = "(?: [^ ]+){1,15} ?".join(re.escape(license_scan.normalised(p)) for p in text.split("*"))
+            if re.fullmatch(pattern, words):
+                out.append(name)
+                break
+    return out
+
+
+def test_known_sentences_against_a_plain_matcher():
+    r = random.Random(3)
+    pool = license_sentences.SENTENCES + license_sentences.gnu_sentences()
+    for _ in range(40):
+        said = [r.choice([t for _, t in pool]).replace("*", r.choice(["the holder", "Jane Doe and others"])) if r.random() < 0.8 else "Some other permission is granted under a version" for _ in range(6)]
+        text = "\n\n".join("\n".join(textwrap.wrap(s, r.randint(30, 90), break_on_hyphens=False)) + r.choice(["", ".", ";"]) for s in said)
+        assert [x for x in license_scan.identifiers(text) if not x.startswith("ref ")] == plain_identifiers(said)
+
+
+def test_every_known_sentence_holds_a_hint():
+    for _, text in license_sentences.SENTENCES + license_sentences.gnu_sentences():
+        assert any(h in text.lower().replace("-", " ").encode() for h in license_scan.HINTS), text
+
+
+def test_references():
+    for text, want in (
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("This project is dual licensed under the GPLv3 or later and the BSD 3-Clause license.", ["GPL-3.0-or-later", "BSD-3-Clause"]),
+        ("Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("We never used anything licensed under the MIT License.", []),
+        ("This is not licensed under the MIT License.", []),
+        ('"Released under the MIT License" is what the other file says.', []),
+        ("If it were released under the MIT License, all would be well.", []),
+        ("The tool, which is released under the MIT License, is old.", []),
+        ("Licensed under the Moon Licence.", []),
+    ):
+        assert license_scan.licences(license_scan.identifiers(text))[0] == want, text
+
+
+def test_spdx_expressions():
+    for text, want in (("MIT */ Copyright 2020 Jane Doe", "MIT"), ("apache-2.0", "Apache-2.0"), ("(MIT OR apache-2.0) and GPL-2.0-only WITH Classpath-exception-2.0 -->", "(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0"), ("MIT OR", "MIT"), ("(MIT", ""), ("", ""), ("OR MIT", ""), ("LicenseRef-Own.", "LicenseRef-Own")):
+        assert license_scan.spdx(text) == want
+    assert license_scan.identifiers("# SPDX-License-Identifier: MIT\n# more words\nhere") == ["spdx MIT"]
 
 
 def test_rules_follow_order():
