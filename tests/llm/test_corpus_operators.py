@@ -3,6 +3,7 @@ import random
 import re
 import textwrap
 import time
+import zlib
 from collections import Counter
 
 import corpus_plain as plain
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftline.llm import components, decontamination, exact_dedup, html_extract, html_labelled, langid, license_scan, license_sentences, packing, sharding, simhash, substring_dedup, toxicity
+from driftline.llm import components, decontamination, exact_dedup, html_extract, html_labelled, langid, license_scan, license_sentences, packing, queries, sharding, simhash, substring_dedup, toxicity
 from driftline.llm import lexing as lx
 from driftline.llm.wordbpe import Tables, WordBpe
 
@@ -94,6 +95,34 @@ def test_matrix_is_hypergeometric():
     assert abs(np.mean(big) - 750_000) < 300 and np.std(big) < 1000
 
 
+def test_shards_keep_all_columns(spark):
+    df = spark.createDataFrame([(i, f"k{i}", i * 2, "x") for i in range(50)] + [(None, None, None, None)] * 3 + [(7, "k7", 14, "x")] * 2, "_block long, _key string, _first int, n string").repartition(4)
+    got = sharding.shard(df, 3, block_rows=5)
+    assert got.columns == [*df.columns, "shard", "slot"]
+    assert strings(r[:4] for r in got.collect()) == strings(df.collect())
+    assert strings(got.select("shard", "slot").collect()) == strings((s, k) for s in range(3) for k in range(19 if s == 0 else 18))
+
+
+def test_shuffle_is_uniform(spark):
+    counts = Counter()
+    df = spark.range(6).repartition(2)
+    for seed in range(40):
+        for r in sharding.shard(df, 2, seed=seed, block_rows=2).collect():
+            counts[r["id"], r["shard"], r["slot"]] += 1
+    assert len(counts) == 36 and max(counts.values()) <= 18  # 40 / 6 each
+
+
+def test_shard_query(spark, tmp_path):
+    rows = [*ROWS, (None, None), (900, "Ünï 日本")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_hypergeometric_shard(spark, str(tmp_path)).collect()
+    assert strings((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in got) == strings((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), "rows", None) for i, t in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert set(by) == set(range(24)) and all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
 # ---- 2
 
 
