@@ -63,6 +63,25 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: From so many rows on a key is joined by broadcast, so that they stay where they are.
+HOT_ROWS = 5000
+
+
+def matching(rows: DataFrame, counted: DataFrame, keys: list[str], row_bytes: int = 48) -> DataFrame:
+    """The rows whose keys are in counted (keys and n, their number of rows; a stable table).
+
+    counted is broadcast whole if its counted size is small. Otherwise only the keys of HOT_ROWS rows or more are, at
+    most one for so many rows, and the others are shuffled: no task gets all rows of a hot key.
+    """
+    total = counted.count()
+    if total * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(counted.select(*keys)), keys, "left_semi")
+    hot = counted.where(F.col("n") >= HOT_ROWS).select(*keys)
+    hot = maybe_broadcast(hot, hot.count(), row_bytes)
+    rest = counted.where(F.col("n") < HOT_ROWS).select(*keys)
+    return rows.join(hot, keys, "left_semi").unionByName(rows.join(hot, keys, "left_anti").join(rest, keys, "left_semi"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lexing as lx
-from .shared import cut, maybe_broadcast, release, text_batches
+from .shared import cut, matching, maybe_broadcast, release, text_batches
 
 WINDOW = 35
 _FAR = 1 << 40
@@ -225,13 +225,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     try:
         marks = held(base.select("_k", "_k2", "_t").mapInArrow(lx.trimmed(_elect(window)), "name bigint, s1 bigint, s2 bigint, _k bigint, _k2 int, lo bigint, hi bigint"))
-        shared = held(marks.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
-        common = held(marks.join(maybe_broadcast(shared, shared.count(), 24), "name"))
+        shared = held(marks.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"))
+        common = held(matching(marks, shared, ["name"], 24))
         release(marks, shared)
         spans = held(common.groupBy("name", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("_k", "_k2", "lo", "hi")).alias("one")))
-        whole = common.join(spans.where("n > 1").select("name", "s1", "s2"), ["name", "s1", "s2"]).select("_k", "_k2", "lo", "hi")
-        several = spans.groupBy("name").agg(F.count("*").alias("m")).where("m > 1").select("name")
-        apart = spans.join(several, "name").select("one.*", (F.col("n") == 1).alias("alone"))
+        whole = matching(common, spans.where("n > 1"), ["name", "s1", "s2"], 40).select("_k", "_k2", "lo", "hi")
+        several = held(spans.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"))
+        apart = matching(spans, several, ["name"], 24).select("one.*", (F.col("n") == 1).alias("alone"))
         places = held(apart.groupBy("_k", "_k2").agg(F.collect_list(F.struct("lo", "hi", "alone")).alias("ranges")))
         found = held(_by_document(base, places, "inner").select("_k", "_k2", "_t", "ranges").mapInArrow(lx.trimmed(_digest_windows(window)), "w1 bigint, w2 bigint, _k bigint, _k2 int, at bigint, alone boolean"))
         release(places)

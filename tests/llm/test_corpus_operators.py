@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftline.llm import components, decontamination, exact_dedup, html_extract, html_labelled, langid, license_scan, license_sentences, packing, queries, sharding, simhash, substring_dedup, toxicity
+from driftline.llm import components, decontamination, exact_dedup, html_extract, html_labelled, langid, license_scan, license_sentences, packing, queries, shared, sharding, simhash, substring_dedup, toxicity
 from driftline.llm import lexing as lx
 from driftline.llm.wordbpe import Tables, WordBpe
 
@@ -179,30 +179,62 @@ def test_language(spark):
 
 
 def test_code_lengths_are_those_of_the_trees():
-    texts = {"x": ["abracadabra arbor"], "y": ["banana bandana"]}
+    texts = {"x": ["Abracadabra arbor", "bar"], "y": ["banana bandana"], "z": ["été à la mer \U0001f30a"], "u": ["zz"], "v": ["quiz quiz"]}
     model = langid.train(texts)
-    classes = model.classes
+    assert model.languages == sorted(texts)
     for j, lang in enumerate(model.languages):
         counts = Counter()
-        seq = [int(classes[b]) for b in texts[lang][0].encode()]
-        for k in range(langid.ORDER + 1):
-            padded = [int(classes[0x20])] * langid.ORDER + seq
-            for i in range(langid.ORDER, len(padded)):
-                counts[tuple(padded[i - k : i]), padded[i]] += 1
+        for text in texts[lang]:
+            padded = [0x20] * langid.ORDER + list(text.encode().lower())
+            for k in range(langid.ORDER + 1):
+                for i in range(langid.ORDER, len(padded)):
+                    counts[tuple(padded[i - k : i]), padded[i]] += 1
 
-        def cost(context, s):
+        def cost(context, s, counts=counts):
             own = {x: n for (c, x), n in counts.items() if c == context}
-            shorter = (lambda: cost(context[1:], s)) if context else (lambda: np.log2(langid.SYMBOLS))
+            shorter = (lambda: cost(context[1:], s)) if context else (lambda: 8)
             if not own:
                 return shorter()
             total, kinds = sum(own.values()), len(own)
             return np.log2(total + kinds) - np.log2(own[s]) if s in own else np.log2(total + kinds) - np.log2(kinds) + shorter()
 
-        test = "abandon arbor!".encode()
-        syms = [int(classes[0x20])] * langid.ORDER + [int(classes[b]) for b in test]
-        want = sum(cost(tuple(syms[i - langid.ORDER : i]), syms[i]) for i in range(langid.ORDER, len(syms)))
-        got = model.bits(np.frombuffer(test, np.uint8), np.array([0, len(test)]))[0, j] / langid.UNIT
-        assert got == pytest.approx(want, abs=0.02)
+        docs = ["abandon Arbor! été \U0001f30a", "", "x", "quizquiz" * 500]
+        raw = [d.encode() for d in docs]
+        got = model.bits(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))[:, j] / langid.UNIT
+        for n, r in zip(got, raw, strict=True):
+            syms = [0x20] * langid.ORDER + list(r.lower())
+            want = sum(cost(tuple(syms[i - langid.ORDER : i]), syms[i]) for i in range(langid.ORDER, len(syms)))
+            assert n == pytest.approx(want, abs=0.002 * len(r) + 0.01)
+
+
+def test_many_languages(spark):
+    r = random.Random(2)
+    parts = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäöü") for _ in range(r.randint(2, 4))) for _ in range(12)] for k in range(12)}
+    say = lambda k, n: " ".join(r.choice(parts[k]) + r.choice(parts[k]) for _ in range(n))
+    rows = [(100 * i + j, say(k, 40), k) for i in range(40) for j, k in enumerate(parts)]
+    model = langid.train(langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert model.languages == sorted(parts) and len(model.tables) == 3
+    test = [(100 * i + j, say(k, 5), k) for i in range(20) for j, k in enumerate(parts)] + [(5000, say("l03", 200_000), "l03"), (5000, say("l03", 9), "l03"), (None, say("l04", 9), "l04")]
+    got = langid.predictions(table(spark, [x[:2] for x in test]), model).select("doc_id", "lang_pred").collect()
+    wrong = Counter((i, k) for i, _, k in test) - Counter(map(tuple, got))
+    assert len(got) == len(test) and wrong.total() <= 3
+    assert langid.predictions(empty(spark), model).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i, "x" * (50 + i), "en") for i in range(300)] + [(1000 + i, "y" * 5000, "de") for i in range(4)] + [(2000, "", "fr"), (2001, None, "fr")]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=20, max_bytes=2000)
+    assert set(got) == {"en"} and 5 <= len(got["en"]) <= 20 and sum(map(len, got["en"])) <= 2000
+
+
+def test_index_finds_what_it_holds():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 1000, 70_000):
+        keys = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32))
+        found = langid.Index(keys)
+        assert (found.find(keys) == np.arange(len(keys))).all()
+        other = np.setdiff1d(rng.integers(0, 1 << 32, 1000, dtype=np.uint32), keys)
+        assert (found.find(other) == -1).all()
 
 
 # ---- 4
@@ -714,6 +746,19 @@ def test_toxicity_without_labels(spark):
     assert toxicity.scores(docs, one).where("score > 0.01").count() == 0
 
 
+# ---- shared
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_matching_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    rows = spark.range(200).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), "id")
+    counted = shared.cut(rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 3"))
+    got = shared.matching(rows, counted, ["k"])
+    assert strings(got.collect()) == strings(rows.where("k <> 3").collect())
+
+
 # ---- words
 
 
