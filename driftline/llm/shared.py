@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 import uuid
 import weakref
 
@@ -16,15 +17,19 @@ from ..scratch import scratch_root
 BROADCAST_BYTES = 48 << 20
 
 
-#: Rows of text that go to a Python worker at once; Arrow batches are bounded by rows only, and texts may be long.
-TEXT_ROWS = 1000
+#: Rows, and bytes, of text that go to a Python worker at once.
+TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """df, after bounding its session's Arrow batches to TEXT_ROWS rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= TEXT_ROWS:
-        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+    """df, after bounding its session's Arrow batches to TEXT_ROWS rows and TEXT_BYTES bytes (and one row more).
+
+    Spark reads these limits when a plan runs, so they stay set; narrower ones are kept.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        if not 0 < int(re.sub(r"\D", "", conf.get(key))) <= most:
+            conf.set(key, str(most))
     return df
 
 
@@ -45,14 +50,20 @@ def cut(df: DataFrame) -> DataFrame:
 _paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete tables that cut() wrote and nothing will read again, and let Spark drop the shuffles behind them."""
+def delete(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing will read again."""
     for t in tables:
         ref, path = _paths.pop(id(t), (None, None))
         if ref is not None and ref() is t:
             jvm = t.sparkSession.sparkContext._jvm
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """delete(), and let Spark drop the shuffles behind the tables: its cleaner acts when the JVM has collected their
+    handles, which an idle driver does late."""
+    delete(*tables)
     if tables:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
@@ -119,24 +130,26 @@ def keep_rows(docs: DataFrame, keys: dict[str, Column], decisions: DataFrame) ->
     when their counted size is small.
     """
     names = list(keys)
+    own = {n: unused(docs, n) for n in names}
     by_key = cut(decisions.groupBy(*names).agg(F.max("kept").alias("_any"), F.count("*").alias("_n")).where("not _any or _n > 1"))
     sizes = {r["_any"]: r["count"] for r in by_key.groupBy("_any").count().collect()}
-    out = docs.withColumns(keys)
+    out = docs.withColumns({own[n]: e for n, e in keys.items()})
 
     def match(side: DataFrame) -> Column:
         cond = F.lit(True)
         for n in names:
-            cond = cond & out[n].eqNullSafe(side[n])
+            cond = cond & out[own[n]].eqNullSafe(side[n])
         return cond
 
-    repeated = by_key.where("_any").select(*[F.col(n).alias(f"{n}_r") for n in names])
+    again = {n: unused(docs, f"{n}_r") for n in names}
+    repeated = by_key.where("_any").select(*[F.col(n).alias(again[n]) for n in names])
     if sizes.get(False):
         gone = by_key.where("not _any").select(*names)
         out = out.join(maybe_broadcast(gone, sizes[False], 64), match(gone), "left_anti")
     if sizes.get(True):
         same = F.lit(True)
         for n in names:
-            same = same & F.col(n).eqNullSafe(F.col(f"{n}_r"))
+            same = same & F.col(own[n]).eqNullSafe(F.col(again[n]))
         many = maybe_broadcast(repeated, sizes[True], 64)
-        out = out.join(many, same, "left_anti").unionByName(out.join(many, same, "left_semi").dropDuplicates(names))
+        out = out.join(many, same, "left_anti").unionByName(out.join(many, same, "left_semi").dropDuplicates(list(own.values())))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

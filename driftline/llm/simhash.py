@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from . import lexing as lx
 from .components import components
-from .shared import cut, keep_rows, maybe_broadcast, release, text_batches
+from .shared import cut, delete, keep_rows, maybe_broadcast, release, text_batches
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Fingerprints that a group should hold on average, at most.
 GROUP_ROWS = 2048
 LEAF, FAN = 16, 8
+#: Fingerprints of one group that a task joins at once, at most; a larger group is joined block by block.
+GROUP_MOST = 1 << 17
 #: Node pairs handled at once.
 FRONT = 1 << 16
 _LANES = np.uint64(0x0101010101010101)
@@ -211,8 +213,12 @@ def link_groups(codes: np.ndarray, groups: np.ndarray, k: int = BITS) -> np.ndar
     return classes.label
 
 
-def links(different: DataFrame, n: int, k: int = BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a, b): edges that connect exactly the fingerprints (column _fp, each once) within k bits of each other."""
+def links(different: DataFrame, n: int, k: int = BITS, group_rows: int = GROUP_ROWS, group_most: int = GROUP_MOST) -> DataFrame:
+    """(a, b): edges that connect exactly the fingerprints (column _fp, each once) within k bits of each other.
+
+    A group of more than group_most fingerprints is cut into blocks by hash, and every two blocks are joined by a task
+    of their own, so that no task holds a whole hot group.
+    """
     family = masks(n, k, group_rows)
     signed = [m - (1 << 64) if m >> 63 else m for m in family]
     keyed = different.select("_fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("_fp").bitwiseAND(F.lit(m)).alias("v")) for t, m in enumerate(signed)])).alias("g")).select(F.col("g.t").alias("_t"), F.col("g.v").alias("_v"), "_fp")
@@ -221,14 +227,24 @@ def links(different: DataFrame, n: int, k: int = BITS, group_rows: int = GROUP_R
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
     spark = different.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(family) * n // 2_000_000)
-    dealt = keyed.repartition(parts, "_t", "_v").sortWithinPartitions("_t", "_v", rank)
+    hot = cut(keyed.groupBy("_t", "_v").agg(F.count("*").alias("_n")).where(F.col("_n") > group_most)) if n > group_most else None
+    if hot is None or not (n_hot := hot.count()):
+        dealt = keyed.withColumns({"_i": F.lit(0), "_j": F.lit(0)})
+    else:
+        blocks = F.ceil(F.col("_n") * 2 / group_most).cast("int")
+        parts = max(parts, hot.agg(F.sum(blocks.cast("long") * blocks)).first()[0] // 4)
+        side = F.pmod(F.xxhash64("_fp", F.lit(1)), blocks).cast("int")
+        spread = keyed.join(maybe_broadcast(hot, n_hot, 32), ["_t", "_v"], "left").withColumn("_b", F.explode(F.when(F.col("_n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))))
+        dealt = spread.withColumns({"_i": F.coalesce(F.least("_b", side), F.lit(0)), "_j": F.coalesce(F.greatest("_b", side), F.lit(0))})
+    dealt = dealt.select("_t", "_v", (F.col("_i").cast("long") * (1 << 31) + F.col("_j")).alias("_p"), "_fp")
+    dealt = dealt.repartition(parts, "_t", "_v", "_p").sortWithinPartitions("_t", "_v", "_p", rank)
 
     def join(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         rows, enough = 0, 200_000
 
-        def run(t, v, codes):
-            new = np.flatnonzero((t[1:] != t[:-1]) | (v[1:] != v[:-1])) + 1
+        def run(t, v, p, codes):
+            new = np.flatnonzero((t[1:] != t[:-1]) | (v[1:] != v[:-1]) | (p[1:] != p[:-1])) + 1
             groups = np.concatenate([[0], new, [len(t)]])
             alone = np.diff(groups) == 1
             keep = np.repeat(~alone, np.diff(groups))
@@ -242,18 +258,19 @@ def links(different: DataFrame, n: int, k: int = BITS, group_rows: int = GROUP_R
                 yield pa.RecordBatch.from_arrays([pa.array(codes[own].view(np.int64)), pa.array(codes[label[own]].view(np.int64))], names=["a", "b"])
 
         for b in batches:
-            t, v, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            t, v, p, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(t):
                 continue
-            held.append((t, v, fp.view(np.uint64)))
+            held.append((t, v, p, fp.view(np.uint64)))
             rows += len(t)
             if rows < enough:
                 continue
-            t, v, codes = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = int(np.flatnonzero((t != t[-1]) | (v != v[-1]))[-1]) + 1 if (t[0], v[0]) != (t[-1], v[-1]) else 0
+            t, v, p, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+            other = np.flatnonzero((t != t[-1]) | (v != v[-1]) | (p != p[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
-                yield from run(t[:last], v[:last], codes[:last])
-            held, rows = [(t[last:], v[last:], codes[last:])], len(t) - last
+                yield from run(t[:last], v[:last], p[:last], codes[:last])
+            held, rows = [(t[last:], v[last:], p[last:], codes[last:])], len(t) - last
             enough = max(200_000, 2 * rows)  # a long group is copied a few times only
         if held:
             yield from run(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -266,7 +283,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     Documents link if their fingerprints differ in k bits at most. Null and empty texts have fingerprint zero and link
     like others. Null ids never are a component's least id unless it has no other. Rows that repeat an id keep a
-    fingerprint each. An empty table gives an empty result.
+    fingerprint each; equal texts are one node of the index. Very long texts are read whole. An empty table gives an
+    empty result. Other columns are not read, whatever their names.
     """
     held = cut(fingerprints(docs, id_col, text_col, shingle))
     classes = cut(held.groupBy("_fp").agg(F.min("_id").alias("_min"), F.count("*").alias("_n")))
@@ -496,7 +514,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classed = cut(sampled.union(samples.where("_prefix").select("_node", "_fp")).distinct())
     hubs = classed.groupBy("_class").agg(F.min("_node").alias("_hub"), F.count("*").alias("_n")).where("_n > 1").select("_class", "_hub")
     pairs = cut(classed.join(hubs, "_class").where("_node <> _hub").select("_node", "_hub").distinct())
-    release(samples, different)
+    delete(different)
+    release(samples)
     ends = cut(pairs.select("_node").union(pairs.select("_hub")).distinct())
     texts = cut(keyed.select("_node", "_t").join(maybe_broadcast(ends, ends.count(), 24), "_node").dropDuplicates(["_node"]).withColumn("_bytes", F.octet_length("_t")))
     both = pairs.join(texts.drop("_bytes"), "_node").join(texts.select(F.col("_node").alias("_hub"), F.col("_t").alias("_h")), "_hub").select("_node", "_hub", "_t", "_h")

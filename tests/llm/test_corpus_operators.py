@@ -323,6 +323,22 @@ def test_fingerprints_and_groups(spark):
     assert simhash.grouped(empty(spark)).count() == 0
 
 
+def test_hot_groups_are_joined_by_blocks(spark):
+    rng = np.random.default_rng(4)
+    center = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    codes = np.unique(center[rng.integers(0, 3, 400)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (400, 6)).astype(np.uint64), axis=1))
+    parent = list(range(len(codes)))
+    for i in range(len(codes)):
+        for j in range(i):
+            if (int(codes[i]) ^ int(codes[j])).bit_count() <= 4:
+                a, b = plain.find(parent, i), plain.find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    want = Counter(plain.find(parent, i) for i in range(len(codes)))
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "_fp long")
+    got = components.components(simhash.links(df, len(codes), group_most=20)).groupBy("b").count().collect()
+    assert sorted(r["count"] + 1 for r in got) == sorted(n for n in want.values() if n > 1)
+
+
 @pytest.mark.parametrize("n", [2, 50, 900])
 def test_groups_of_codes(n):
     rng = np.random.default_rng(n)
@@ -749,6 +765,22 @@ def test_toxicity_without_labels(spark):
 # ---- shared
 
 
+def test_rows_stay_with_clashing_columns(spark):
+    docs = table(spark).withColumns({"_key_id": F.lit("a"), "_KEY_TEXT": F.lit("b"), "_key_id_r": F.lit("c"), "_any": F.lit("d"), "_n": F.lit("e")})
+    for kept in (exact_dedup.deduplicated(docs), simhash.deduplicated(docs)):
+        assert kept.columns == docs.columns and {tuple(r) for r in kept.select("_key_id", "_KEY_TEXT", "_key_id_r", "_any", "_n").collect()} == {tuple("abcde")}
+
+
+def test_batches_are_bounded(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "b"])
+
+    df = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    got = shared.text_batches(df).mapInArrow(sizes, "n long, b long").collect()
+    assert sum(r["n"] for r in got) == 60 and max(r["b"] for r in got) <= shared.TEXT_BYTES + (2 << 20)
+
+
 @pytest.mark.parametrize("most", [1 << 20, 0])
 def test_matching_rows(spark, monkeypatch, most):
     monkeypatch.setattr(shared, "BROADCAST_BYTES", most)
