@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexing as lx
-from .shared import cut, text_batches
+from .shared import cut, text_batches, unused
 
 N = 10
 #: Grams (about 150 bytes each) that are broadcast at most.
@@ -62,8 +62,8 @@ def grams_table(items: DataFrame, item_col: str, text_col: str, n: int) -> DataF
 class GramSet:
     """The grams of one length class, as sorted hashes with a bitmap before them."""
 
-    def __init__(self, rows: list[tuple[str, int, int, bytes]]) -> None:
-        self.items: dict[tuple[int, bytes], list[str]] = defaultdict(list)
+    def __init__(self, rows: list[tuple[str | None, int, int, bytes]]) -> None:
+        self.items: dict[tuple[int, bytes], list[str | None]] = defaultdict(list)
         keys: dict[int, set[int]] = defaultdict(set)
         for item, length, key, gram in rows:
             self.items[(length, gram)].append(item)
@@ -98,7 +98,7 @@ def _hit_rows(grams: GramSet, data: np.ndarray, offs: np.ndarray):
             if (n, gram) in grams.items:
                 d = int(np.searchsorted(bounds, s, "right")) - 1
                 found[d].append((s - int(bounds[d]), n))
-                who[d].update(grams.items[(n, gram)])
+                who[d].update(x for x in grams.items[(n, gram)] if x is not None)
     for d in range(len(offs) - 1):
         size = int(bounds[d + 1] - bounds[d])
         mask = None
@@ -115,12 +115,13 @@ def digest(items) -> str:
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, max_grams: int = MAX_GRAMS) -> DataFrame:
     """One row per document: id_col, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null texts, on either side, have no words; an item without words matches nothing; an item given twice or with a
-    null id counts as one item of that id (null ids are left out of n_items). Rows may repeat: each gets its own
-    result. No documents, or no items, give no hits. Further columns are not read.
+    Null texts, on either side, have no words; an item without words matches nothing; an item given twice counts as one
+    item of that id. The words of an item with a null id are hit like others, but it is in neither n_items nor the
+    digest. Rows may repeat: each gets its own result. Very long texts are scanned whole. No documents, or no items,
+    give no hits. Further columns are not read, whatever their names.
     """
     spark = docs.sparkSession
-    table = cut(grams_table(items, item_col, item_text, n).where("item is not null"))
+    table = cut(grams_table(items, item_col, item_text, n))
     if table.count() > max_grams:
         return _joined(docs, table, id_col, text_col)
     sent = spark.sparkContext.broadcast(GramSet([(r["item"], r["len"], r["key"], bytes(r["gram"])) for r in table.collect()]))
@@ -142,11 +143,11 @@ def _joined_spans(keyed: DataFrame, table: DataFrame) -> DataFrame:
     """(_e, at, who) of the hit rows of keyed (_e, _t): spans (at, len) and items, by a shuffled join."""
     spark = keyed.sparkSession
     bits, lengths = 26, [r["len"] for r in table.select("len").distinct().collect()]
-    slots = table.select((F.col("key").bitwiseAND((1 << bits) - 1)).cast("int").alias("s")).distinct()
-    seen = np.zeros(1 << bits, bool)
-    for batch in slots.toLocalIterator():
-        seen[batch["s"]] = True
-    sent = spark.sparkContext.broadcast(np.packbits(seen))
+    slot = F.col("key").bitwiseAND((1 << bits) - 1)
+    words = table.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("m")).toPandas()
+    seen = np.zeros(1 << (bits - 6), np.uint64)  # a bit for each slot, 8 MB whatever the benchmark
+    seen[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.int64).view(np.uint64)
+    sent = spark.sparkContext.broadcast(seen)
 
     def windows(batches):
         packed = sent.value
@@ -157,8 +158,8 @@ def _joined_spans(keyed: DataFrame, table: DataFrame) -> DataFrame:
                 for n in lengths:
                     at = lx.window_starts(bounds, n)
                     k = win.at(at, n)
-                    slot = (k & np.uint64((1 << bits) - 1)).astype(np.int64)
-                    near = (packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+                    slot = k & np.uint64((1 << bits) - 1)
+                    near = (packed[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
                     at, k = at[near], k[near]
                     d = np.searchsorted(bounds, at, "right") - 1
                     gram = [b" ".join(raw[starts[x] : ends[x]] for x in range(s, s + n)) for s in at.tolist()]
@@ -192,14 +193,18 @@ def _joined(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> Da
 def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int = N, most_hit: float = 0.0, max_grams: int = MAX_GRAMS) -> DataFrame:
     """docs without contaminated rows: a row goes when more than `most_hit` of its words are hit. All columns stay.
 
+    Null and empty texts stay; rows that repeat stay or go together; a null item_id makes no difference. An empty table
+    on either side is no special case.
+
     The decision is made inside the scan, so no row moves. With a benchmark too large to broadcast rows are numbered,
     and those that hits() finds by its join go by their numbers.
     """
-    table = cut(grams_table(items, "item_id", "text", n).where("item is not null"))
+    table = cut(grams_table(items, "item_id", "text", n))
     if table.count() > max_grams:
-        rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-        gone = _joined(rows, table, "_row", text_col).where(F.col("n_hit") > most_hit * F.col("n_words")).select("_row")
-        return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        row = unused(docs, "_row")
+        rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        gone = _joined(rows, table, row, text_col).where(F.col("n_hit") > most_hit * F.col("n_words")).select(row)
+        return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     sent = docs.sparkSession.sparkContext.broadcast(GramSet([(r["item"], r["len"], r["key"], bytes(r["gram"])) for r in table.collect()]))
     where = docs.columns.index(text_col)
 
@@ -223,8 +228,9 @@ def _without(raw: np.ndarray, mask: np.ndarray) -> str:
 
 def _removed_joined(docs: DataFrame, table: DataFrame, text_col: str) -> DataFrame:
     """removed_spans() by a shuffled join."""
-    rows = cut(docs.withColumn("_e", F.monotonically_increasing_id()))
-    spans = _joined_spans(rows.select("_e", F.col(text_col).alias("_t")), table).select("_e", "at")
+    row = unused(docs, "_e")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    spans = _joined_spans(rows.select(F.col(row).alias("_e"), F.col(text_col).alias("_t")), table).select(F.col("_e").alias(row), "at")
     where = docs.columns.index(text_col)
 
     def scan(batches):
@@ -238,13 +244,13 @@ def _removed_joined(docs: DataFrame, table: DataFrame, text_col: str) -> DataFra
                     texts[i] = _without(raw, lx.covered(size, a[:, 0], a[:, 0] + a[:, 1]))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == where else c for k, c in enumerate(b.columns[:-1])], names=b.schema.names[:-1])
 
-    joined = rows.join(spans, "_e", "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("at").alias("_at"))
+    joined = rows.join(spans, row, "left").select(*[rows[c] for c in docs.columns], spans["at"].alias(unused(docs, "_at")))
     return text_batches(joined).mapInArrow(lx.trimmed(scan), docs.schema)
 
 
 def removed_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int = N, max_grams: int = MAX_GRAMS) -> DataFrame:
     """docs with hit words cut out of the text instead of rows dropped; the text around a cut is kept as it is."""
-    table = cut(grams_table(items, "item_id", "text", n).where("item is not null"))
+    table = cut(grams_table(items, "item_id", "text", n))
     if table.count() > max_grams:
         return _removed_joined(docs, table, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(GramSet([(r["item"], r["len"], r["key"], bytes(r["gram"])) for r in table.collect()]))

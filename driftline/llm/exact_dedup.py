@@ -3,14 +3,16 @@
 1. Each document becomes a thin entry (hash of the normalised text, digest, id). The entries are written to the
    shared folder once; that table is the index file.
 2. The directory starts with one slot. While a bucket holds more than `bucket_rows` entries of more than one hash,
-   the directory doubles: only entries of overfull buckets are counted again, deeper, STEP_BITS doublings at once. The driver
-   holds one count a bucket. A bucket of one hash cannot be split: it is a long chain.
+   the directory doubles: only entries of overfull buckets are counted again, deeper, STEP_BITS doublings at once. The
+   driver holds one count a bucket, and buckets grow with the table, so that these are some 2**TABLE_BITS at most. A
+   bucket of one hash cannot be split: it is a long chain.
 3. Owner tasks process key ranges: directory slots in hash order are packed into ranges of about `bucket_rows`
    entries and each range goes to one task, which finds the chain heads. Long chains are combined inside each task
    before the shuffle, so one of them moves a row a task.
 4. Chains of two or more entries are compared byte by byte with their head. Members of a long chain are cut into
    segments of `chain_rows`, each joined with its own copy of the head, so that no task gets a whole hot chain.
-   Entries that collide with the head without being equal form further chains, keyed by hash and text.
+   Where an entry collides with its head without being equal, the entries of that hash form chains by hash and
+   SHA-256 of the text.
 """
 
 from __future__ import annotations
@@ -100,12 +102,13 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
 
     Null text is empty. Of rows with equal normalised text the smallest id stays (null ids come last); of rows that
-    repeat an id and a text one stays, the others count in group_size. An empty table gives an empty result. Other
-    columns are not read.
+    repeat an id and a text one stays, the others count in group_size. Very long texts are compared whole. An empty
+    table gives an empty result. Other columns are not read, whatever their names.
     """
     norm = normalised(text_col)
     raw = docs.select(F.col(id_col).alias("_id"), norm.alias("_t")).withColumn("_h", key(F.col("_t")))
     index = cut(raw.select("_id", "_h", F.unhex(F.sha2("_t", 256)).alias("_sha")).withColumn("_e", F.monotonically_increasing_id()))
+    bucket_rows = max(bucket_rows, index.count() >> TABLE_BITS)
     heads = cut(chain_heads(index, bucket_rows).where("size > 1"))
     stats = heads.agg(F.count("*"), F.max("size")).first()
     chains, longest = stats[0], stats[1] or 0

@@ -303,6 +303,8 @@ NEAR_SHINGLE, SAMPLE, LEVELS, SAMPLE_BITS = 5, 7, 4, 2
 NEAR = 0.8
 #: Documents of fewer shingles find their copies by prefixes, without samples.
 SHORT = 60
+#: Shingles of so many short documents come last in the order of prefixes; so many of them are broadcast at most.
+FREQUENT, FREQUENT_MOST = 1000, 1 << 22
 #: A class is compared within itself in blocks of about so many documents and bytes of text.
 BLOCK_DOCS, BLOCK_BYTES = 2048, 8 << 20
 
@@ -331,14 +333,39 @@ def prefix_length(size: np.ndarray, least: float = NEAR) -> np.ndarray:
     return size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
 
 
-def chunk_prefixes(doc: np.ndarray, h: np.ndarray, n_docs: int, least: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of the least shingle hashes of each document: two similar documents have one in common."""
+def chunk_prefixes(doc: np.ndarray, h: np.ndarray, n_docs: int, least: float = NEAR, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the first shingles of each document: two similar documents have one in common. Shingles stand
+    in the order of their hashes, frequent ones (sorted hashes) after all others."""
+    if frequent is not None and len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+        order = np.lexsort((h, often, doc))
+        doc, h = doc[order], h[order]
     size = np.bincount(doc, minlength=n_docs)
     first = np.cumsum(size) - size
     picked = np.arange(len(h)) - first[doc] < prefix_length(size, least)[doc]
     return doc[picked], h[picked]
 
 
+def frequent_shingles(texts: DataFrame, shingle: int, similarity: float, least: int = FREQUENT, most: int = FREQUENT_MOST) -> np.ndarray:
+    """Sorted hashes of the shingles that `least` short documents (text _t) or more hold; where these are more than
+    `most`, of those that twice as many hold, and so on."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, data, offs in lx.chunks(b.column(0)):
+                doc, h = shingle_hashes(data, offs, shingle)
+                short = np.bincount(doc, minlength=len(offs) - 1)[doc] * similarity < SHORT
+                own, n = np.unique(h[short], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    counted = cut(texts.mapInArrow(lx.trimmed(run), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    while counted.where(F.col("n") >= least).count() > most:
+        least *= 2
+    found = counted.where(F.col("n") >= least).select("h").toPandas()["h"].to_numpy().astype(np.int64).view(np.uint64)
+    delete(counted)
+    return np.sort(found)
+
+
 def chunk_samples(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, fingerprint) of the shingle samples of one chunk, from its different shingles.
 
@@ -481,22 +508,27 @@ def _open_members(classed: DataFrame, groups: DataFrame) -> DataFrame:
     return rooted.join(open_, "_class").select("_class", "_node", "_root", "_n")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR, block_docs: int = BLOCK_DOCS, frequent: int = FREQUENT) -> DataFrame:
     """(_key_id, _key_text, kept): one row per document; of each group of near copies the least id is kept.
 
     One fingerprint of a whole text tells copies apart that share 80 % of their shingles, so here a document has the
     fingerprints of up to 2**LEVELS samples of its five-word shingles. Documents are candidates if they have samples
     in one class of the index: two texts of similarity 0.8 have such samples in about 98 of 100 cases, of 0.9 in all
     but one in ten thousand. Samples of short texts are too few for that, so a document of fewer than SHORT shingles,
-    and all that one can be similar to, forms a class with those that share one of its least shingle hashes: of two
-    similar texts none is missed. A class's documents are first compared with the least of them, exactly, as Jaccard
+    and all that one can be similar to, forms a class with those that share one of its first shingles, in an order in
+    which shingles of many documents come last: of two similar texts none is missed, and a line that many documents
+    hold makes no class of them. A class's documents are first compared with the least of them, exactly, as Jaccard
     similarity of the whole texts' shingle sets. A class that this leaves in several groups is compared within itself,
     every pair that is not in one group already (link_similar, on 64-bit shingle hashes); a large one block by block,
     so that no task holds more than two blocks. Groups are the components of all pairs that pass.
-    Null text is empty, null ids come last.
+
+    Null and empty texts are empty and similar to each other; null ids come last; of rows that repeat an id and a text
+    one counts. Very long texts are read whole. An empty table gives an empty result. Other columns are not read.
     """
     keyed = text_batches(docs).select(F.col(id_col).alias("_key_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_key_text", F.xxhash64("_t")).withColumn("_node", F.xxhash64("_key_id", "_t"))
 
+    often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(keyed.select("_t"), shingle, similarity, frequent))
+
     def run(batches):
         for b in batches:
             node = b.column(0).to_numpy(zero_copy_only=False)
@@ -504,32 +536,44 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 doc, h = shingle_hashes(data, offs, shingle)
                 size = np.bincount(doc, minlength=len(offs) - 1)[doc]
                 long, short = size >= SHORT, size * similarity < SHORT  # the latter are all that a shorter one is similar to
-                for prefix, (d, x) in ((False, chunk_samples(doc[long], h[long], len(offs) - 1)), (True, chunk_prefixes(doc[short], h[short], len(offs) - 1, similarity))):
+                for prefix, (d, x) in ((False, chunk_samples(doc[long], h[long], len(offs) - 1)), (True, chunk_prefixes(doc[short], h[short], len(offs) - 1, similarity, often.value))):
                     yield pa.RecordBatch.from_arrays([pa.array(node[i + d]), pa.array(x.view(np.int64)), pa.array(np.full(len(d), prefix))], names=["_node", "_fp", "_prefix"])
 
-    samples = cut(keyed.select("_node", "_t").mapInArrow(lx.trimmed(run), "_node bigint, _fp bigint, _prefix boolean").distinct())
-    different = cut(samples.where("not _prefix").groupBy("_fp").agg(F.count("*").alias("_n")))
-    same = components(links(different.select("_fp"), different.count(), SAMPLE_BITS)).select(F.col("a").alias("_fp"), F.col("b").alias("_class"))
-    sampled = samples.where("not _prefix").join(same, "_fp", "left").select("_node", F.coalesce("_class", "_fp").alias("_class"))
-    classed = cut(sampled.union(samples.where("_prefix").select("_node", "_fp")).distinct())
-    hubs = classed.groupBy("_class").agg(F.min("_node").alias("_hub"), F.count("*").alias("_n")).where("_n > 1").select("_class", "_hub")
-    pairs = cut(classed.join(hubs, "_class").where("_node <> _hub").select("_node", "_hub").distinct())
-    delete(different)
-    release(samples)
-    ends = cut(pairs.select("_node").union(pairs.select("_hub")).distinct())
-    texts = cut(keyed.select("_node", "_t").join(maybe_broadcast(ends, ends.count(), 24), "_node").dropDuplicates(["_node"]).withColumn("_bytes", F.octet_length("_t")))
-    both = pairs.join(texts.drop("_bytes"), "_node").join(texts.select(F.col("_node").alias("_hub"), F.col("_t").alias("_h")), "_hub").select("_node", "_hub", "_t", "_h")
-    groups = components(both.mapInArrow(lx.trimmed(_similar(shingle, similarity)), "a bigint, b bigint"))
-    members = cut(_open_members(classed, groups).join(texts.select("_node", "_bytes"), "_node"))
-    if not members.isEmpty():
-        blocks = members.groupBy("_class").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("_bytes") / BLOCK_BYTES)).cast("int").alias("_blocks"))
-        placed = members.join(blocks, "_class").withColumn("_side", F.expr("cast(pmod(xxhash64(_node, 1), _blocks) as int)")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        spread = placed.select("_class", F.least("_side", "_other").alias("_i"), F.greatest("_side", "_other").alias("_j"), "_side", "_node", "_root").join(texts.select("_node", "_t"), "_node")
-        dealt = spread.select("_class", "_i", "_j", "_side", "_node", "_root", "_t").repartition("_class", "_i", "_j").sortWithinPartitions("_class", "_i", "_j")
-        groups = components(groups.union(dealt.mapInArrow(lx.trimmed(_links_inside(shingle, similarity)), "a bigint, b bigint")))
-    groups = groups.select(F.col("a").alias("_node"), F.col("b").alias("_root"))
-    release(classed, pairs, ends, texts, members)
-    rooted = cut(keyed.drop("_t").join(maybe_broadcast(groups, groups.count(), 40), "_node", "left").withColumn("_root", F.coalesce("_root", "_node")))
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(df)
+        return df
+
+    def held(df: DataFrame) -> DataFrame:
+        return keep(cut(df))
+
+    try:
+        samples = held(keyed.select("_node", "_t").mapInArrow(lx.trimmed(run), "_node bigint, _fp bigint, _prefix boolean").distinct())
+        different = held(samples.where("not _prefix").groupBy("_fp").agg(F.count("*").alias("_n")))
+        same = keep(components(links(different.select("_fp"), different.count(), SAMPLE_BITS)))
+        sampled = samples.where("not _prefix").join(same.select(F.col("a").alias("_fp"), F.col("b").alias("_class")), "_fp", "left").select("_node", F.coalesce("_class", "_fp").alias("_class"))
+        classed = held(sampled.union(samples.where("_prefix").select("_node", "_fp")).distinct())
+        hubs = classed.groupBy("_class").agg(F.min("_node").alias("_hub"), F.count("*").alias("_n")).where("_n > 1").select("_class", "_hub")
+        pairs = held(classed.join(hubs, "_class").where("_node <> _hub").select("_node", "_hub").distinct())
+        delete(different)
+        release(samples)
+        ends = held(pairs.select("_node").union(pairs.select("_hub")).distinct())
+        texts = held(keyed.select("_node", "_t").join(maybe_broadcast(ends, ends.count(), 24), "_node").dropDuplicates(["_node"]).withColumn("_bytes", F.octet_length("_t")))
+        both = pairs.join(texts.drop("_bytes"), "_node").join(texts.select(F.col("_node").alias("_hub"), F.col("_t").alias("_h")), "_hub").select("_node", "_hub", "_t", "_h")
+        groups = keep(components(both.mapInArrow(lx.trimmed(_similar(shingle, similarity)), "a bigint, b bigint")))
+        members = held(_open_members(classed, groups).join(texts.select("_node", "_bytes"), "_node"))
+        if not members.isEmpty():
+            blocks = members.groupBy("_class").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("_bytes") / BLOCK_BYTES)).cast("int").alias("_blocks"))
+            placed = members.join(blocks, "_class").withColumn("_side", F.expr("cast(pmod(xxhash64(_node, 1), _blocks) as int)")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+            spread = placed.select("_class", F.least("_side", "_other").alias("_i"), F.greatest("_side", "_other").alias("_j"), "_side", "_node", "_root").join(texts.select("_node", "_t"), "_node")
+            dealt = spread.select("_class", "_i", "_j", "_side", "_node", "_root", "_t").repartition("_class", "_i", "_j").sortWithinPartitions("_class", "_i", "_j")
+            groups = keep(components(groups.union(dealt.mapInArrow(lx.trimmed(_links_inside(shingle, similarity)), "a bigint, b bigint"))))
+        groups = groups.select(F.col("a").alias("_node"), F.col("b").alias("_root"))
+        delete(classed, pairs, ends, texts, members)
+        rooted = cut(keyed.drop("_t").join(maybe_broadcast(groups, groups.count(), 40), "_node", "left").withColumn("_root", F.coalesce("_root", "_node")))
+    finally:
+        release(*made)
     first = rooted.groupBy("_root").agg(F.min(F.struct(F.col("_key_id").isNull().alias("n"), F.col("_key_id").alias("id"), F.col("_node").alias("node"))).alias("first"), F.count("*").alias("_n")).where("_n > 1").select("_root", F.col("first.node").alias("_first"))
     return rooted.join(first, "_root", "left").select("_key_id", "_key_text", (F.coalesce("_first", "_node") == F.col("_node")).alias("kept"))
 

@@ -10,7 +10,10 @@ mean of means is linear; its size is fixed.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +23,8 @@ from .shared import text_batches
 
 BITS, DIM = 18, 6
 SIZES = (3, 4, 5, 6)
-#: Labelled documents of each label that training takes at most, by hash of their id.
-MAX_EACH = 2500
+#: Labelled documents of each label that training takes at most, by hash of their id, and bytes of their texts.
+MAX_EACH, MAX_BYTES = 2500, 32 << 20
 EPOCHS, BATCH, RATE, DECAY = 6, 50, 0.02, 1e-5
 SHARPNESS = 30.0
 #: Neutral words that every document is averaged with, so that a few words alone do not decide.
@@ -156,11 +159,23 @@ def chunk_scores(model: tuple[np.ndarray, float], data: np.ndarray, offs: np.nda
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = MAX_EACH) -> tuple[list[str], np.ndarray]:
-    """At most max_each labelled texts of either label, those of least id hash. Null ids, texts or labels are left out."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_l"), F.col(label_col).cast("int").alias("_y")).dropDuplicates(["_l"])
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_each: int = MAX_EACH, max_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray]:
+    """Of either label at most max_each labelled ids, and texts of max_bytes in all, those of least id hash. Null ids,
+    texts or labels are left out; of clashing labels of one id 1 counts; texts of one id all get its label."""
+    spark = docs.sparkSession
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_l")).agg(F.max(label_col).cast("int").alias("_y"))
     picked = known.where("_y = 0").orderBy(F.xxhash64("_l"), "_l").limit(max_each).unionByName(known.where("_y = 1").orderBy(F.xxhash64("_l"), "_l").limit(max_each))
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(picked), docs[id_col] == F.col("_l")).select(F.col("_l"), F.col(text_col).alias("_t"), "_y").collect()
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_l"), F.col(text_col).alias("_t"))
+    # ids and sizes first, so that only texts within the bound come to the driver; at most 2 * max_each rows
+    sizes = texts.join(F.broadcast(picked), "_l").groupBy("_l", "_y").agg(F.sum(F.octet_length("_t")).alias("b")).withColumn("h", F.xxhash64("_l")).collect()
+    taken = []
+    for y in (0, 1):
+        own = sorted((r["h"], r["_l"], r["b"]) for r in sizes if r["_y"] == y)
+        taken += [(i, y) for (_, i, _), total in zip(own, accumulate(b for *_, b in own), strict=True) if total <= max_bytes]
+    if not taken:
+        return [], np.zeros(0, np.int64)
+    chosen = spark.createDataFrame(pd.DataFrame(taken, columns=["_l", "_y"]), f"_l {docs.schema[id_col].dataType.simpleString()}, _y int")
+    rows = texts.join(F.broadcast(chosen), "_l").select("_l", "_t", "_y").collect()
     rows = sorted({(r["_l"], r["_t"], r["_y"]) for r in rows})
     return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
 
@@ -177,8 +192,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every row, from its whole text. Null and empty texts, and texts without words, get the score
-    of the bias alone. Rows may repeat; other columns are not read."""
+    """(id_col, score) of every row, from its whole text, however long.
+
+    Null and empty texts, and texts without words, get the score of the bias alone. Equal texts score the same; rows
+    may repeat, each gets its own result; an empty table gives an empty result; other columns are not read, whatever
+    their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -191,7 +210,8 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs without the rows that score `threshold` or more; all columns stay and no row moves."""
+    """docs without the rows that score `threshold` or more; all columns stay and no row moves. A row that scores the
+    threshold itself goes. Null and empty texts score the bias alone; an empty table stays empty."""
     sent, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):

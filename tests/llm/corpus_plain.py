@@ -78,8 +78,7 @@ def hits(rows, items, n=10):
         w = ALNUM.findall(lower(t or ""))
         m = min(n, len(w))
         for s in range(len(w) - m + 1) if m else ():
-            if item is not None:
-                grams[tuple(w[s : s + m])].add(str(item))
+            grams[tuple(w[s : s + m])] |= {str(item)} if item is not None else set()
     out = []
     for i, t in rows:
         w = ALNUM.findall(lower(t or ""))

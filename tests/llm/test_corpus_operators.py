@@ -427,6 +427,31 @@ def test_short_near_copies(spark):
     assert sorted(kept) == [2 * i for i in range(pairs)]
 
 
+@pytest.mark.parametrize("frequent", [3, 1000])
+def test_short_copies_around_a_common_line(spark, frequent):
+    r = random.Random(9)
+    line = [f"common{k}" for k in range(12)]
+    rows = []
+    for i in range(120):
+        w = [f"v{r.randint(0, 10**6)}" for _ in range(r.randint(0, 40))] + line
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w, f"z{i}"]))]
+    parent = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if plain.jaccard(rows[a][1], rows[b][1]) >= 0.8:
+                x, y = plain.find(parent, a), plain.find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    kept = simhash.near_groups(table(spark, rows), frequent=frequent).where("kept").collect()
+    assert {x["_key_id"] for x in kept} == {plain.find(parent, i) for i in range(len(rows))}
+
+
+def test_frequent_shingles(spark):
+    rows = [(i, f"a{i} b{i} one two three four five" if i < 9 else f"a{i} one two three four six") for i in range(15)]
+    texts = table(spark, rows).select(F.col("text").alias("_t"))
+    assert len(simhash.frequent_shingles(texts, 5, 0.8, 9)) == 1 and len(simhash.frequent_shingles(texts, 5, 0.8, 10)) == 0
+    assert len(simhash.frequent_shingles(texts, 5, 0.8, 1, most=3)) <= 3
+
+
 def test_similar_pairs_join_what_all_pairs_do():
     r = random.Random(8)
     sets = []
