@@ -211,7 +211,10 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs without the rows that score `threshold` or more; all columns stay and no row moves. A row that scores the
-    threshold itself goes. Null and empty texts score the bias alone; an empty table stays empty."""
+    threshold itself goes. Null and empty texts score the bias alone; an empty table stays empty. A model that has seen no
+    label keeps every row."""
+    if not model[1] and not model[0].any():
+        return docs
     sent, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):

@@ -779,10 +779,42 @@ def test_toxicity(spark):
     assert toxicity.scores(empty(spark), model).count() == 0
 
 
+def plain_score(model, text):
+    margin, bias = model
+    words = plain.ALNUM.findall(plain.lower(text or ""))
+    total = 0.0
+    for w in words:
+        b = f"<{w}>".encode()
+        grams = [b[i : i + n] for n in toxicity.SIZES for i in range(len(b) - n + 1)]
+        slots = [((int.from_bytes(g, "little") + len(g)) * int(lx.M1) % (1 << 64)) >> (64 - toxicity.BITS) for g in grams]
+        total += sum(float(margin[s]) for s in slots) / max(1, len(slots))
+    return 1 / (1 + np.exp(-np.clip(total / (toxicity.NEUTRAL + len(words)) + bias, -40, 40)))
+
+
+def test_scores_are_those_of_the_bags(spark):
+    rng = np.random.default_rng(5)
+    model = (rng.normal(0, 8, 1 << toxicity.BITS).astype(np.float32), -0.4)
+    rows = [*ROWS[:60], (700, "x" * 3000), (701, "Stupid, STUPID stupid!"), (701, "Stupid, STUPID stupid!"), (702, "é ñ ü 日本"), (600, LONG), (None, None), (None, "w1 w2")]
+    got = [(r["doc_id"], round(r["score"], 4)) for r in toxicity.scores(table(spark, rows).drop("score"), model).collect()]
+    assert strings(got) == strings((i, round(float(plain_score(model, t)), 4)) for i, t in rows)
+
+
+def test_sampled_labels(spark):
+    docs = spark.createDataFrame([(i, "t" * (10 * i)) for i in range(40)] + [(3, "other"), (50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 1), (50, 1), (None, 0), (60, 0), (4, None)], "doc_id long, toxic int")
+    texts, y = toxicity.sample(docs, labels, max_each=15, max_bytes=1500)
+    for k in (0, 1):
+        own = [len(t) for t, v in zip(texts, y, strict=True) if v == k]
+        assert 0 < len(own) <= 16 and sum(own) <= 1500
+    everything, y = toxicity.sample(docs, labels)
+    assert len(everything) == 41 and dict(zip(everything, y.tolist(), strict=True))["t" * 20] == 1
+
+
 def test_toxicity_without_labels(spark):
     docs = table(spark)
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {x["score"] for x in toxicity.scores(docs, none).collect()} == {0.5}
+    assert toxicity.accepted(docs, none).count() == docs.count()
     one = toxicity.fit(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
     assert toxicity.scores(docs, one).where("score > 0.01").count() == 0
 
