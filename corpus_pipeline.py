@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns a DataFrame that is
-written as Parquet and read again before the next.
+written as Parquet and read again before the next. All but the last return the columns of docs, whatever further ones
+there are; an empty table passes through; rows that repeat are dropped by the dedup stages like other copies.
 """
 
 from __future__ import annotations
@@ -19,23 +20,29 @@ TOXIC_FROM = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that op10's model rejects. It is learned from the labels of docs; without labels of both kinds
+    the only label decides, and without any label every row stays."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.accepted(docs, model, threshold=TOXIC_FROM)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text (but for white space), that of least id; null texts are empty, null ids come last."""
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more), that of least id."""
     return simhash.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a window of ten words, or a whole shorter item, of the benchmark."""
     return decontamination.cleaned(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all docs in sequences of at most 2048 tokens; null texts are one end token."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
