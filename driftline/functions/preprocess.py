@@ -107,6 +107,12 @@ def last_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], *columns)
 
 
+def without_fields(df: DataFrame, places: list[int], fields: list[str]) -> DataFrame:
+    """df without the fields at the given places of `fields`, their order before any of them was moved."""
+    gone = {fields[k] for k in places}
+    return df.select(*[c for c in df.columns if c not in gone])
+
+
 def connection_features(raw: DataFrame) -> DataFrame:
     """The 33 numbers and the class of a raw connection record, nominal columns dropped."""
     numbers = [clamp_scale(F.col(c).cast("double"), cap).alias(c) for c, cap in CAPS.items()]

@@ -65,23 +65,40 @@ def seeds_drawn(points: DataFrame, k: int, seed: int = 0, id_col: str = "id", va
 # ---- arrays: one class, or one detection round
 
 
+def settled(rule: str, before: dict[str, float], now: dict[str, float], precision: float) -> bool:
+    """Have Lloyd rounds settled? Of the summed distance, the summed farthest distances and the summed movement of the
+    centres, before and now: by the change of the first ("distance"), its relative change ("relative"), the relative
+    gain of the second ("farthest"), or the third as a share of the last one ("movement")."""
+    if rule == "distance":
+        return abs(before["total"] - now["total"]) <= precision
+    if rule == "relative":
+        return now["total"] == before["total"] or abs(now["total"] / before["total"] - 1) <= precision if before["total"] else True
+    if rule == "farthest":
+        return not now["far"] or before["far"] / now["far"] - 1 < precision
+    if rule == "movement":
+        return not before["moved"] or now["moved"] / before["moved"] < precision
+    raise ValueError(f"no stop rule {rule}")
+
+
 def kmeans_arrays(x: np.ndarray, seeds: np.ndarray, p: Params) -> np.ndarray:
     """Centres after Lloyd rounds from the seeds. A cluster without points keeps its centre. The first round's sums
-    start with the seeds themselves under seed_bias. Rounds end when the summed distance changes by `precision` at most."""
+    start with the seeds themselves under seed_bias. Rounds end when settled() says so."""
     centers = seeds.astype(np.float64).copy()
-    before = float(x.shape[1] * len(seeds) * len(x) * 2)
+    before = {"total": float(x.shape[1] * len(seeds) * len(x) * 2), "far": np.inf, "moved": np.inf}
     for i in range(p.max_iterations):
         own, squared = one_nearest(x, centers)
         count = np.bincount(own, minlength=len(centers))
         sums = np.stack([np.bincount(own, weights=x[:, d], minlength=len(centers)) for d in range(x.shape[1])], axis=1)
         if i == 0 and p.seed_bias:
             sums += centers
-        full = count > 0
+        full, old = count > 0, centers.copy()
         centers[full] = sums[full] / count[full, None]
-        total = float(np.sqrt(squared).sum())
-        if abs(before - total) <= p.precision:
+        dist, far = np.sqrt(squared), np.zeros(len(centers))
+        np.maximum.at(far, own, dist)
+        now = {"total": float(dist.sum()), "far": float(far.sum()), "moved": float(np.sqrt(((centers - old) ** 2).sum(axis=1)).sum())}
+        if settled(p.stop, before, now, p.precision):
             break
-        before = total
+        before = now
     return centers
 
 
@@ -115,27 +132,28 @@ def _own_cluster(x: np.ndarray, labels: list, model: Model) -> tuple[np.ndarray,
 
 
 def _sums(points: DataFrame, model: Model, label: str, val_col: str) -> dict[int, tuple[int, float, np.ndarray]]:
-    """cluster place -> (points, summed distance, summed vectors)."""
+    """cluster place -> (points, summed distance, greatest distance, summed vectors)."""
     dim = model.centers.shape[1]
     sent = points.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
-        n, d, ls = np.zeros(len(m), np.int64), np.zeros(len(m)), np.zeros((len(m), dim))
+        n, d, far, ls = np.zeros(len(m), np.int64), np.zeros(len(m)), np.zeros(len(m)), np.zeros((len(m), dim))
         for b in batches:
             x = matrix(b.column(1), dim)
             place, dist = _own_cluster(x, b.column(0).to_pylist(), m)
             ok = place >= 0
             n += np.bincount(place[ok], minlength=len(m))
             d += np.bincount(place[ok], weights=dist[ok], minlength=len(m))
+            np.maximum.at(far, place[ok], dist[ok])
             np.add.at(ls, place[ok], x[ok])
         full = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(n[full]), pa.array(d[full]), pa.array(ls[full].tolist(), pa.list_(pa.float64()))], names=["c", "n", "d", "ls"])
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(n[full]), pa.array(d[full]), pa.array(far[full]), pa.array(ls[full].tolist(), pa.list_(pa.float64()))], names=["c", "n", "d", "far", "ls"])
 
-    parts = points.select(label, val_col).mapInArrow(run, "c bigint, n bigint, d double, ls array<double>")
-    rows = parts.groupBy("c").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), *[F.sum(F.col("ls")[i]).alias(f"v{i}") for i in range(dim)]).collect()
+    parts = points.select(label, val_col).mapInArrow(run, "c bigint, n bigint, d double, far double, ls array<double>")
+    rows = parts.groupBy("c").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.max("far").alias("far"), *[F.sum(F.col("ls")[i]).alias(f"v{i}") for i in range(dim)]).collect()
     sent.unpersist()
-    return {r["c"]: (r["n"], r["d"], np.array([r[f"v{i}"] for i in range(dim)])) for r in rows}
+    return {r["c"]: (r["n"], r["d"], r["far"], np.array([r[f"v{i}"] for i in range(dim)])) for r in rows}
 
 
 def kmeans(points: DataFrame, seeds: DataFrame, p: Params, label: str = "label", val_col: str = "val", callback: Callable[[int, Model], None] | None = None) -> Model:
@@ -145,20 +163,23 @@ def kmeans(points: DataFrame, seeds: DataFrame, p: Params, label: str = "label",
     centers = np.array([r[2] for r in rows], np.float64)
     model = Model(np.arange(len(rows)), [r[0] for r in rows], centers, np.zeros(len(rows)), np.zeros(len(rows)))
     names = list(dict.fromkeys(model.labels))
-    before: dict = dict.fromkeys(names)
+    before: dict = {}
     open_ = set(names)
     for i in range(p.max_iterations):
         found = _sums(points, model, label, val_col)
         for name in list(open_):
             own = [k for k, g in enumerate(model.labels) if g == name]
-            total = sum(found[k][1] for k in own if k in found)
+            old = model.centers[own].copy()
             for k in own:
                 if k in found:
-                    n, _, ls = found[k]
+                    n, _, _, ls = found[k]
                     model.centers[k] = (ls + model.centers[k]) / n if i == 0 and p.seed_bias else ls / n
-            if before[name] is not None and abs(before[name] - total) <= p.precision:
+            met = [found[k] for k in own if k in found]
+            now = {"total": sum(m[1] for m in met), "far": sum(m[2] for m in met), "moved": float(np.sqrt(((model.centers[own] - old) ** 2).sum(axis=1)).sum())}
+            first = {"total": float(centers.shape[1] * len(own) * sum(m[0] for m in met) * 2), "far": np.inf, "moved": np.inf}
+            if settled(p.stop, before.get(name, first), now, p.precision):
                 open_.discard(name)
-            before[name] = total
+            before[name] = now
         if callback:
             callback(i, model)
         if not open_:

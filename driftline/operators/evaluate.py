@@ -67,6 +67,11 @@ def onsets(matches: DataFrame) -> DataFrame:
     return matches.groupBy("label").agg(F.min("id").alias("first_id"))
 
 
+def known_labels(rows: DataFrame) -> DataFrame:
+    """The different labels, unknown left out."""
+    return rows.where(F.col("label") != UNKNOWN).select("label").distinct()
+
+
 def repeated_ids(matches: DataFrame) -> DataFrame:
     return matches.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 

@@ -99,10 +99,10 @@ def nearest_taxicab(spark, sf_dir):
     return p.select("id", s.alias("s")).select("id", F.col("s.cluster_id").alias("cluster_id"), F.round("s.dist", 6).alias("dist"))
 
 
-@query(f"WITH {ECU} SELECT id, cid AS cluster_id, round(list_distance(v, c), 6) AS dist FROM e, c WHERE id % 10 = 0")
+@query(f"WITH {ECU} SELECT id, cid AS cluster_id, round(list_distance(v, c), 6) AS dist FROM e, c")
 def cross_distance(spark, sf_dir):
     p = points(spark, sf_dir)
-    return nearest.cross_distances(p.where("id % 10 = 0").select("id", "val"), centroids(p)).select("id", "cluster_id", r6("dist"))
+    return nearest.cross_distances(p.select("id", "val"), centroids(p)).select("id", "cluster_id", r6("dist"))
 
 
 # ---- clustering
@@ -316,10 +316,10 @@ def outer_merge(spark, sf_dir):
     return evaluate.merge(p.select("id", F.col("label").alias("class")), p.where("id % 3 > 0").select("id", "label"))
 
 
-@query("WITH p AS (SELECT vec_id % 100 AS id, min(label::VARCHAR) AS label FROM embeddings GROUP BY 1) SELECT vec_id AS id, e.label::VARCHAR AS class, p.label FROM embeddings e JOIN p ON p.id = vec_id WHERE vec_id < 100")
+@query("WITH p AS (SELECT vec_id % 100 AS id, min(label::VARCHAR) AS label FROM embeddings GROUP BY 1) SELECT vec_id AS id, e.label::VARCHAR AS class, p.label FROM embeddings e JOIN p ON p.id = vec_id")
 def merge_consume(spark, sf_dir):
     p = points(spark, sf_dir)
-    return evaluate.merge_once(p.select((F.col("id") % 100).alias("id"), "label"), p.where("id < 100").select("id", F.col("label").alias("class")))
+    return evaluate.merge_once(p.select((F.col("id") % 100).alias("id"), "label"), p.select("id", F.col("label").alias("class")))
 
 
 @query("SELECT round(avg((label = vec_id % 10)::INTEGER), 6) AS hit_ratio FROM embeddings")
@@ -472,11 +472,11 @@ def forget_sleep(spark, sf_dir):
     return training.forgotten(model, e.agg(F.max("event_id")).first()[0], 500).select("id", "latest_match_id", "is_sleep")
 
 
-@query(f"WITH {ECU}, s AS (SELECT cid, c, cid % 2 = 0 AS sleeps FROM c), h AS (SELECT DISTINCT cid FROM e, s WHERE sleeps AND list_distance(v, c) <= 0.85 AND id % 5 = 0) SELECT s.cid AS id, sleeps AND h.cid IS NULL AS is_sleep FROM s LEFT JOIN h ON s.cid = h.cid")
+@query(f"WITH {ECU}, s AS (SELECT cid, c, cid % 2 = 0 AS sleeps FROM c), h AS (SELECT DISTINCT cid FROM e, s WHERE sleeps AND list_distance(v, c) <= 0.85) SELECT s.cid AS id, sleeps AND h.cid IS NULL AS is_sleep FROM s LEFT JOIN h ON s.cid = h.cid")
 def wake_sleepers(spark, sf_dir):
     p = points(spark, sf_dir)
     model = centroids(p).withColumns({"radius": F.lit(0.85), "is_sleep": F.col("id") % 2 == 0})
-    return training.promoted(model, p.where("id % 5 = 0")).select("id", "is_sleep")
+    return training.promoted(model, p).select("id", "is_sleep")
 
 
 @query(r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_]+')) AS word FROM documents) WHERE word <> '' GROUP BY word")

@@ -25,7 +25,8 @@ OUTPUT = struct("kind string, id bigint, label string, dist double, cluster_id b
 @dataclass(frozen=True)
 class Params:
     """k clusters a class or round; radius = radius_f * deviation; a cluster of min_examples may be kept; an extension
-    lies within novelty_f deviations; forget after `forget_after` ids; detect at `trigger` unknowns, hold `most_unknowns`."""
+    lies within novelty_f deviations of the nearest cluster (extension_rule "radius": nearer than novelty_f radii,
+    "farthest": nearer than its farthest point); k-means stops by `stop` (operators.clustering.settled); forget after `forget_after` ids; detect at `trigger` unknowns, hold `most_unknowns`."""
 
     k: int = 100
     radius_f: float = 0.25
@@ -43,6 +44,8 @@ class Params:
     final_flush: bool = False
     drop_reclassified: bool = False
     identify_first: bool = True
+    extension_rule: str = "deviation"
+    stop: str = "distance"
 
     @property
     def trigger_size(self) -> int:

@@ -16,10 +16,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.nearest import Model, classify
+from ..operators.nearest import Model, classify, collect_model, one_nearest
 from ..plans.novelty import State, initial_state
 from ..schema import OUTPUT, UNKNOWN, Params
-from ..scratch import scratch_root
+from ..scratch import cut, scratch_root
 
 
 class ParallelDetector:
@@ -41,16 +41,26 @@ class ParallelDetector:
         self.done = batch_id - 1
 
     def _detect(self, missed: DataFrame, began: int) -> list[tuple]:
-        """Take all unknowns in order of id, a round whenever the exact machine would run one, as of that id."""
+        """Take all unknowns in order of id, a round whenever the exact machine would run one, as of that id. Those that a
+        cluster of an earlier round of this batch holds are reclassified instead of kept (identify_first)."""
         s, p = self.state, self.p
-        end, latest = s.cur, s.latest.copy()
+        end, latest, known = s.cur, s.latest.copy(), len(s)
         rows: list[tuple] = []
         part: list = []
 
         def take() -> None:
             s.cur = max(began, part[-1]["id"])
-            s._keep_unknown(np.array([r["id"] for r in part], np.int64), np.array([r["val"] for r in part], float))
+            ids, vals = np.array([r["id"] for r in part], np.int64), np.array([r["val"] for r in part], float)
             part.clear()
+            if p.identify_first and len(s) > known:  # clusters that the executors did not have yet
+                near, squared = one_nearest(vals, s.centers[known:])
+                place, dist = known + near, np.sqrt(squared)
+                inside = dist <= s.radius[place]
+                np.add.at(s.n_matches, place[inside], 1)
+                np.maximum.at(s.latest, place[inside], ids[inside])
+                rows.extend(("reclassified", int(i), s.labels[c], float(d), int(c), None) for i, c, d in zip(ids[inside], place[inside], dist[inside], strict=True))
+                ids, vals = ids[~inside], vals[~inside]
+            s._keep_unknown(ids, vals)
             size = len(s.unknown_ids)
             if size >= p.buffer_size or (size >= p.trigger_size and s.cur - s.last_nd > p.trigger_size):
                 rows.extend(s._round())
@@ -95,6 +105,38 @@ class ParallelDetector:
         self.done = batch_id
 
 
-def start(stream: DataFrame, detector: ParallelDetector, checkpoint: str, available_now: bool = True):
+class LateModel:
+    """foreachBatch handler for a stream that begins before its model: until `need` clusters are known, batches are kept
+    in the shared folder; then they are classified in their order, and so is every further batch at once.
+
+    sink(rows, batch_id) gets the points with cluster_id, dist and label.
+    """
+
+    def __init__(self, spark: SparkSession, need: int, sink: Callable[[DataFrame, int], None]) -> None:
+        self.spark, self.need, self.sink = spark, need, sink
+        self.rows: DataFrame | None = None
+        self.model: Model | None = None
+        self.backlog: dict[int, DataFrame] = {}
+
+    def add(self, clusters: DataFrame) -> None:
+        """Take cluster rows (id, label, center, radius); rows of known ids are passed over."""
+        if self.rows is None:
+            self.rows = cut(clusters)
+        else:
+            self.rows = cut(self.rows.unionByName(clusters.join(self.rows.select("id"), "id", "left_anti")))
+        if self.rows.count() >= self.need:
+            self.model = collect_model(self.rows)
+            waiting, self.backlog = self.backlog, {}
+            for batch_id, batch in sorted(waiting.items()):
+                self.sink(classify(batch, self.model), batch_id)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.model is None:
+            self.backlog[batch_id] = cut(batch)  # a repeated batch replaces itself
+        else:
+            self.sink(classify(batch, self.model), batch_id)
+
+
+def start(stream: DataFrame, detector: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True):
     writer = stream.writeStream.foreachBatch(detector).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

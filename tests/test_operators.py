@@ -1,3 +1,6 @@
+from collections import Counter
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -9,6 +12,7 @@ from driftline.operators import clustering, evaluate, nearest, ordered
 from driftline.plans import novelty, training
 from driftline.schema import Params
 from driftline.sources import formats
+from driftline.streaming import parallel
 
 
 def test_next_label_passes_over_letters_and_dash():
@@ -246,3 +250,92 @@ def test_parallel_detector_takes_all_unknowns(spark, tmp_path):
     d = ParallelDetector(spark, known, p, lambda df, b: out.extend(df.where("kind = 'cluster'").collect()), state_path=str(tmp_path / "s"))
     d(batch, 0)
     assert {r["val"][0] > 0 for r in out} == {True, False}
+
+
+def test_kmeans_stops_by_each_rule():
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(c, 0.3, (60, 3)) for c in (0, 2, 5)])
+    for rule, precision in (("distance", 1e-8), ("relative", 1e-8), ("farthest", 1e-8), ("movement", 1e-4)):
+        p = Params(k=3, stop=rule, precision=precision, seed_bias=False)
+        got = clustering.kmeans_arrays(x, x[[0, 60, 120]], p)
+        assert np.allclose(np.sort(got[:, 0]), [0, 2, 5], atol=0.3), rule
+    with pytest.raises(ValueError):
+        clustering.kmeans_arrays(x, x[:3], Params(stop="never"))
+    before, now = {"total": 10.0, "far": 4.0, "moved": 2.0}, {"total": 9.0, "far": 4.0, "moved": 1e-5}
+    assert [clustering.settled(r, before, now, 1e-4) for r in ("distance", "relative", "farthest", "movement")] == [False, False, True, True]
+
+
+def test_tables_and_arrays_stop_alike(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.5, (40, 2)) for c in (0, 3)])
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "id long, label string, val array<double>")
+    for rule in ("distance", "relative", "farthest", "movement"):
+        p = Params(k=4, stop=rule, precision=1e-3)
+        model = clustering.kmeans(df, clustering.seeds_first(df, 4), p)
+        assert np.allclose(model.centers, clustering.kmeans_arrays(x, x[:4], p)), rule
+
+
+def test_extension_rules_at_their_borders():
+    row = {"id": 0, "label": "A", "center": [0.0, 0.0], "radius": 1.0, "distance_stddev": 2.0, "distance_max": 3.0}
+    for rule, reach, border in (("deviation", 2.8, True), ("radius", 1.4, False), ("farthest", 3.0, False)):
+        s = novelty.initial_state([row], Params(extension_rule=rule))
+        at = lambda d, s=s: s.extends(np.array([d, 0.0]))[0] is not None
+        assert (at(reach - 1e-9), at(reach), at(reach + 1e-9)) == (True, border, False), rule
+
+
+def test_a_novelty_may_be_extended_in_the_same_round(spark):
+    model = spark.createDataFrame([(0, "A", [0.0, 0.0], 1.0, 0.5)], "id long, label string, center array<double>, radius double, distance_stddev double")
+    rows = [(0, [9.0, 9.0], 30, 0.1, 2.0, 0.1, 0.2), (1, [9.5, 9.0], 30, 0.1, 2.0, 0.1, 0.2), (2, [5.0, 5.0], 1, 0.1, 2.0, 0.1, 0.2)]
+    found = spark.createDataFrame(rows, "id long, center array<double>, n_matches long, radius double, distance_stddev double, distance_avg double, distance_max double")
+    got = novelty.sequential_round(found, model, Params(min_examples=20)).collect()
+    assert [(r["candidate"], r["id"], r["label"], r["extension_of"]) for r in got] == [(0, 1, "0", None), (1, 2, "0", 1)]
+    assert novelty.sequential_round(found.limit(0), model, Params()).count() == 0
+    with pytest.raises(ValueError):
+        novelty.sequential_round(found, model, Params(k=2))
+
+
+def test_preloaded_rows_follow_their_order(spark):
+    rows = [(0, 0), (1, 0), (2, 1), (3, 5), (4, 1), (5, 2), (6, 4)]
+    df = spark.createDataFrame(rows, "line long, id long")
+    got = novelty.preloaded(df, "line", mode=1)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 0, False), (2, 1, False), (3, 5, False), (6, 4, False)]
+
+
+def test_one_step_consumes_wakes_and_drops(spark):
+    model = spark.createDataFrame([(0, "A", 0, [0.0], 1.0, 0, False, 0), (1, "B", 1, [5.0], 1.0, 0, False, 0), (2, "C", 2, [9.0], 1.0, 0, True, 0), (3, "D", 3, [20.0], 1.0, 0, True, -500)], "id long, label string, place int, center array<double>, radius double, n_matches long, is_sleep boolean, latest_match_id long")
+    pts = spark.createDataFrame([(0, [5.2]), (1, [0.1]), (2, [0.3]), (3, [9.1]), (4, [50.0])], "id long, val array<double>")
+    seen = []
+    moved, rest = training.consumed(model.where("not is_sleep"), pts, seen.append)
+    assert {r["id"]: (r["place"], r["n_matches"]) for r in moved.collect()} == {1: (0, 1), 0: (1, 2)}
+    assert sorted(r["id"] for r in rest.collect()) == [3, 4] and seen[0].where("matched").count() == 3
+    after, left = training.next_step(model, pts, 100, lambda m, rest: (m, rest), sleep_after=1000, drop_after=300)
+    assert {r["id"]: r["is_sleep"] for r in after.collect()} == {0: False, 1: False, 2: False} and left.count() == 2
+
+
+def test_unknowns_of_a_batch_meet_its_new_clusters(spark):
+    p = Params(k=2, min_examples=3, trigger=10, radius_f=1.0, stddev_mode="population")
+    model = spark.createDataFrame([(0, "A", [0.0], 0.5, 0.1), (1, "B", [1.0], 0.5, 0.1)], "id long, label string, center array<double>, radius double, distance_stddev double")
+    rng = np.random.default_rng(1)
+    pts = spark.createDataFrame([(i, [float(20 + rng.normal(0, 1))]) for i in range(60)], "id long, val array<double>")
+    kinds = {}
+    for first in (True, False):
+        rows = []
+        parallel.ParallelDetector(spark, model, replace(p, identify_first=first), lambda df, _: rows.extend(df.collect()), state_path=f"{spark.conf.get('spark.checkpoint.dir')}/late-{first}")(pts, 0)
+        kinds[first] = Counter(r["kind"] for r in rows)
+    assert kinds[True]["reclassified"] > 0 and not kinds[False]["reclassified"]
+    assert kinds[True]["unknown"] == kinds[False]["unknown"] == 60
+
+
+def test_a_stream_waits_for_its_model(spark):
+    rows = []
+    late = parallel.LateModel(spark, 2, lambda df, b: rows.extend((b, r["id"], r["label"]) for r in df.collect()))
+    pts = lambda *v: spark.createDataFrame([(int(x * 10), [x]) for x in v], "id long, val array<double>")
+    model = spark.createDataFrame([(0, "A", [0.0], 0.5), (1, "B", [1.0], 0.5)], "id long, label string, center array<double>, radius double")
+    late(pts(0.1, 0.9), 0)
+    late.add(model.where("id = 0"))
+    late(pts(0.2), 1)
+    late(pts(0.2), 1)
+    assert not rows
+    late.add(model)
+    late(pts(7.0), 2)
+    assert sorted(rows) == [(0, 1, "A"), (0, 9, "B"), (1, 2, "A"), (2, 70, "-")]
