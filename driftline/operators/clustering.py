@@ -30,7 +30,7 @@ def seeds_first(points: DataFrame, k: int, label: str = "label", id_col: str = "
 def seeds_spread(points: DataFrame, k: int, label: str = "label", id_col: str = "id", val_col: str = "val") -> DataFrame:
     """Every (n/k)-th point of a class in the order of distance from the origin, without the first."""
     far = points.withColumn("_d", vectors.norm(F.col(val_col))).withColumn("_key", F.floor(F.col("_d") * 1e9).cast("long"))
-    ranked = sequence_ids(far, "_key", "_rank", ["_d", id_col], block=10**8, keys=[label])
+    ranked = sequence_ids(far, "_key", "_rank", ["_d", id_col], keys=[label])
     sizes = points.groupBy(label).agg(F.count("*").alias("_n"))
     step = F.greatest(F.floor(F.col("_n") / k), F.lit(1))
     return ranked.join(F.broadcast(sizes), label).where((F.col("_rank") > 0) & (F.col("_rank") % step == 0)).withColumn("place", (F.col("_rank") / step - 1).cast("int")).where(F.col("place") < k).drop("_d", "_key", "_rank", "_n")

@@ -1,7 +1,8 @@
 """Ordered work without one task that holds all rows.
 
-Rows are dealt into blocks of neighbouring keys; each block is worked on by itself, and one total a block is summed
-over the blocks before it. Blocks are ranges of a whole-number key.
+Rows are sorted into ranges of the whole order, ties included, so that a key that many rows have is cut too; each
+range is worked on by itself, and one total a range is summed over the ranges before it. The sorted rows are written
+once, as ranges found by sampling must not move between two readings.
 """
 
 from __future__ import annotations
@@ -9,35 +10,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 20
+from ..scratch import cut
 
+#: Rows of a range, about.
+BLOCK = 1 << 17
 
-def _blocked(df: DataFrame, key: str, block: int) -> DataFrame:
-    return df.withColumn("_b", F.floor(F.col(key) / block))
 
+def _ranges(df: DataFrame, order: list[str], block: int) -> DataFrame:
+    """df with _p, its range, and _i, the row's place in it from 0."""
+    parts = max(1, -(-df.count() // block))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    p = F.spark_partition_id()
+    return cut(placed.withColumns({"_p": p, "_i": F.monotonically_increasing_id() - F.shiftleft(p.cast("long"), 33)}))
 
-def _before(totals: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy(*(keys or [])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*(keys or []), "_b", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in columns])
+
+def _before(totals: DataFrame, columns: list[str]) -> DataFrame:
+    """The sums of the ranges before each, one row a range."""
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(totals.select("_p", *[F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long").alias(c) for c in columns]))
 
 
 def sequence_ids(df: DataFrame, key: str, name: str = "seq", ties: list[str] | None = None, block: int = BLOCK, keys: list[str] | None = None) -> DataFrame:
-    """df with gapless numbers from 0 in the order of key (a whole number), then of the tie columns; by `keys` if given."""
+    """df with gapless numbers from 0 in the order of key, then of the tie columns; by `keys` if given. Null keys come
+    first."""
     keys = keys or []
-    blocked = _blocked(df, key, block)
-    offsets = _before(blocked.groupBy(*keys, "_b").agg(F.count("*").alias("_n")), ["_n"], keys)
-    w = Window.partitionBy(*keys, "_b").orderBy(key, *(ties or []))
-    return blocked.withColumn("_r", F.row_number().over(w)).join(offsets, [*keys, "_b"]).withColumn(name, (F.col("_r") - 1 + F.col("_n")).cast("long")).drop("_b", "_r", "_n")
+    placed = _ranges(df, [*keys, key, *(ties or [])], block)
+    numbered = placed.join(_before(placed.groupBy("_p").agg(F.count("*").alias("_n")), ["_n"]), "_p").withColumn(name, F.col("_i") + F.col("_n"))
+    if keys:  # the first number of each group
+        first = numbered.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(name).alias("_first"))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        numbered = numbered.join(first, same).withColumn(name, F.col(name) - F.col("_first"))
+    return numbered.select(*df.columns, name)
 
 
 def running_sums(df: DataFrame, key: str, sums: dict[str, Column], ties: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """df with running totals in the order of key: name -> whole-number expression."""
     names = {n: f"_s_{n}" for n in sums}
-    blocked = _blocked(df, key, block).withColumns({names[n]: c.cast("long") for n, c in sums.items()})
-    offsets = _before(blocked.groupBy("_b").agg(*[F.sum(s).alias(f"{s}_o") for s in names.values()]), [f"{s}_o" for s in names.values()])
-    w = Window.partitionBy("_b").orderBy(key, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
-    out = blocked.withColumns({n: F.sum(s).over(w) for n, s in names.items()}).join(offsets, "_b")
-    return out.withColumns({n: (F.col(n) + F.col(f"{s}_o")).cast("long") for n, s in names.items()}).drop("_b", *names.values(), *[f"{s}_o" for s in names.values()])
+    placed = _ranges(df.withColumns({names[n]: c.cast("long") for n, c in sums.items()}), [key, *(ties or [])], block)
+    offsets = _before(placed.groupBy("_p").agg(*[F.sum(s).alias(f"{s}_o") for s in names.values()]), [f"{s}_o" for s in names.values()])
+    w = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({n: F.sum(s).over(w) for n, s in names.items()}).join(offsets, "_p")
+    return out.select(*df.columns, *[(F.col(n) + F.col(f"{s}_o")).cast("long").alias(n) for n, s in names.items()])
 
 
 def count_windows(df: DataFrame, key: str, size: int, aggregates: list[Column], ties: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, preprocess, vectors
@@ -43,7 +43,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def centroids(p: DataFrame) -> DataFrame:
     """(id, label, center): the mean of each label's vectors, numbered by label."""
     means = p.groupBy("label").agg(F.array(*[F.avg(F.col("val")[i]) for i in range(DIM)]).alias("center"))
-    return ordered.sequence_ids(means.withColumn("_k", F.col("label").cast("long")), "_k", "id").select("id", "label", "center")
+    return means.withColumn("id", (F.row_number().over(Window.orderBy(F.col("label").cast("long"))) - 1).cast("long")).select("id", "label", "center")
 
 
 def r6(c: str) -> F.Column:
@@ -334,8 +334,6 @@ def repeated_match_ids(spark, sf_dir):
 
 @query("SELECT round(min(lag), 6) AS min_lag, round(max(lag), 6) AS max_lag, round(avg(lag), 6) AS mean_lag FROM (SELECT (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS lag FROM events)")
 def lag_stats(spark, sf_dir):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     lags = read(spark, sf_dir, "events").select(((F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)) / 1e6).alias("lag"))
     return evaluate.lag_summary(lags).select(r6("min_lag"), r6("max_lag"), r6("mean_lag"))

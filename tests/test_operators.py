@@ -153,6 +153,20 @@ def test_ordered_work_does_not_depend_on_blocks(spark):
         assert run.where("t <> k + 1").count() == 0
 
 
+def test_order_of_hot_keys_nulls_and_groups(spark):
+    rows = [(7, i, "a") for i in range(60)] + [(None, 500 + i, "b") for i in range(3)] + [(i, i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, t long, g string").repartition(3)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = ordered.sequence_ids(df, "k", "s", ["t"], block=8).orderBy("s").collect()
+    assert [r["s"] for r in got] == list(range(len(rows))) and [r["k"] for r in got] == [r[0] for r in want]
+    by = ordered.sequence_ids(df, "k", "s", ["t"], block=8, keys=["g"]).collect()
+    for g, n in (("a", 60), ("b", 3), (None, 20)):
+        assert sorted(r["s"] for r in by if r["g"] == g) == list(range(n))
+    run = ordered.running_sums(df, "k", {"n": F.lit(1)}, ["t"], block=8).collect()
+    assert sorted(r["n"] for r in run) == list(range(1, len(rows) + 1))
+    assert ordered.sequence_ids(df.limit(0), "k", "s").count() == 0
+
+
 def test_model_lines_and_fixtures(spark):
     line = "0,N,normal,502,0,0.04553028494064095,0.1736759823342961,[2.888834262948207E-4, 0.020268260292164667, 1.0, 0.0]"
     r = formats.bracket_clusters(spark.createDataFrame([(line,)], "value string")).first()
