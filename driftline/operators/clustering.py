@@ -217,13 +217,42 @@ def fill_empty(assigned: DataFrame, places: DataFrame) -> DataFrame:
     return crossed.groupBy("place").agg(F.min(F.struct(vectors.euclidean(F.col("val"), F.col("center")), F.col("id").alias("id"))).alias("m")).select("place", F.col("m.id").alias("id"))
 
 
+#: Bytes of one class's vectors up to which one task trains it.
+CLASS_BYTES = 64 << 20
+
+
+def _train_in_tasks(examples: DataFrame, p: Params, dim: int, label: str, val_col: str, id_col: str) -> list[tuple]:
+    """(label, place, n, avg, stddev, dmax, radius, center) rows, each class trained whole by one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = matrix(table.sort_by("_id").column("_val").combine_chunks(), dim)
+        centers = kmeans_arrays(x, x[: p.k], p)
+        found = cluster_arrays(x, centers, p)
+        k = len(centers)
+        cols = [pa.array(table.column("_label")[0].as_py() for _ in range(k)).cast(pa.string()), pa.array(np.arange(k)), pa.array(found["n"]), *(pa.array(found[c]) for c in ("avg", "stddev", "dmax", "radius")), pa.array(centers.tolist(), pa.list_(pa.float64()))]
+        return pa.Table.from_arrays(cols, names=["label", "place", "n", "avg", "stddev", "dmax", "radius", "center"])
+
+    picked = examples.select(F.col(label).cast("string").alias("_label"), F.col(id_col).alias("_id"), F.col(val_col).alias("_val"))
+    rows = picked.groupBy("_label").applyInArrow(run, "label string, place bigint, n bigint, avg double, stddev double, dmax double, radius double, center array<double>").collect()
+    return sorted((tuple(r) for r in rows), key=lambda r: (str(r[0]), r[1]))
+
+
 def train(examples: DataFrame, p: Params, label: str = "label", val_col: str = "val", id_col: str = "id") -> DataFrame:
-    """A model of k clusters a class, numbered class after class. Every class needs k examples at least."""
+    """A model of k clusters a class, numbered class after class. Every class needs k examples at least.
+
+    Where the vectors of each class are counted and found to be CLASS_BYTES at most, a class is one task's work from
+    start to end; otherwise a round is a pass over all classes. Both do the same sums, in another order.
+    """
     sizes = {r[0]: r["count"] for r in examples.groupBy(label).count().collect()}
     if short := sorted(str(k) for k, n in sizes.items() if n < p.k):
         raise ValueError(f"classes with fewer than {p.k} examples: {', '.join(short)}")
     if not sizes:
         return examples.sparkSession.createDataFrame([], CLUSTER)
+    dim = len(examples.select(val_col).first()[0])
+    if max(sizes.values()) * dim * 8 <= CLASS_BYTES:
+        found = _train_in_tasks(examples, p, dim, label, val_col, id_col)
+        rows = [(i, name, n, 0, 0, None, False, avg, dev, far, radius, center) for i, (name, _, n, avg, dev, far, radius, center) in enumerate(found)]
+        return examples.sparkSession.createDataFrame(rows, CLUSTER)
     model = kmeans(examples, seeds_first(examples, p.k, label, id_col), p, label, val_col)
     stats = {r["place"]: r for r in statistics(assign(examples.select(label, val_col), model, label, val_col), ["place"], p.radius_f, p.stddev_mode).collect()}
     rows = []

@@ -20,6 +20,8 @@ from ..schema import UNKNOWN
 
 #: Numbers (clusters times dimensions) that a model may hold.
 MAX_MODEL = 4_000_000
+#: Points compared with all clusters at once.
+STRETCH = 1 << 15
 
 
 @dataclass
@@ -83,6 +85,9 @@ def one_nearest(points: np.ndarray, centers: np.ndarray, last: bool = True) -> t
     """(place, squared distance) of the nearest centre only, as two_nearest() finds it."""
     if len(points) == 0 or len(centers) == 0:
         return np.full(len(points), -1), np.full(len(points), np.inf)
+    if len(points) > STRETCH:  # the products of a stretch are held at once
+        parts = [one_nearest(points[i : i + STRETCH], centers, last) for i in range(0, len(points), STRETCH)]
+        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
     own, other = (points**2).sum(axis=1), (centers**2).sum(axis=1)
     rough = -2 * points @ centers.T
     rough += other

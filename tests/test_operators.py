@@ -279,6 +279,19 @@ def test_kmeans_stops_by_each_rule():
     assert [clustering.settled(r, before, now, 1e-4) for r in ("distance", "relative", "farthest", "movement")] == [False, False, True, True]
 
 
+def test_classes_in_tasks_and_in_passes_train_alike(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (300, 5))
+    df = spark.createDataFrame([(int(i), "AB"[i % 2], v.tolist()) for i, v in zip(rng.permutation(300), x, strict=True)], "id long, label string, val array<double>").repartition(5)
+    p = Params(k=6, max_iterations=20)
+    cols = ["n_matches", "distance_avg", "distance_stddev", "distance_max", "radius"]
+    one = clustering.train(df, p).orderBy("id").collect()
+    monkeypatch.setattr(clustering, "CLASS_BYTES", 0)
+    two = clustering.train(df, p).orderBy("id").collect()
+    assert [(r["id"], r["label"]) for r in one] == [(r["id"], r["label"]) for r in two] and len(one) == 12
+    assert np.allclose([r["center"] for r in one], [r["center"] for r in two]) and np.allclose([[r[c] for c in cols] for r in one], [[r[c] for c in cols] for r in two])
+
+
 def test_tables_and_arrays_stop_alike(spark):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(c, 0.5, (40, 2)) for c in (0, 3)])
