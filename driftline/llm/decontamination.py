@@ -15,7 +15,6 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,6 +174,8 @@ def _joined(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> Da
     by_doc = _joined_spans(keyed.select("_e", "_t"), table)
 
     def finish(batches):
+        import pandas as pd  # here alone, as every worker would hold it otherwise
+
         for pdf in batches:
             n_words, n_hit = [], []
             for t, at in zip(pdf["_t"], pdf["at"], strict=True):

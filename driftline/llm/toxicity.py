@@ -13,7 +13,6 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,7 +173,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         taken += [(i, y) for (_, i, _), total in zip(own, accumulate(b for *_, b in own), strict=True) if total <= max_bytes]
     if not taken:
         return [], np.zeros(0, np.int64)
-    chosen = spark.createDataFrame(pd.DataFrame(taken, columns=["_l", "_y"]), f"_l {docs.schema[id_col].dataType.simpleString()}, _y int")
+    chosen = spark.createDataFrame(taken, f"_l {docs.schema[id_col].dataType.simpleString()}, _y int")
     rows = texts.join(F.broadcast(chosen), "_l").select("_l", "_t", "_y").collect()
     rows = sorted({(r["_l"], r["_t"], r["_y"]) for r in rows})
     return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
