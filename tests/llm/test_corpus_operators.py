@@ -452,6 +452,46 @@ def test_frequent_shingles(spark):
     assert len(simhash.frequent_shingles(texts, 5, 0.8, 1, most=3)) <= 3
 
 
+@pytest.mark.parametrize("n", [60, 111, 113, 225, 700])
+def test_samples_of_border_pairs_meet(n):
+    rng = np.random.default_rng(n)
+    met = 0
+    for _ in range(200):
+        common = int(np.ceil(n * 8 / 9))
+        both = rng.integers(0, 1 << 63, common, dtype=np.uint64) * 2
+        a, b = (np.sort(np.concatenate([both, rng.integers(0, 1 << 63, n - common, dtype=np.uint64) * 2])) for _ in range(2))
+        assert common / (2 * n - common) >= 0.8
+        doc, fp = simhash.chunk_samples(np.repeat([0, 1], n), np.concatenate([a, b]), 2)
+        met += (np.bitwise_count(fp[doc == 0][:, None] ^ fp[doc == 1][None]) <= simhash.SAMPLE_BITS).any()
+    assert met >= 198
+
+
+def test_families_of_near_and_less_near_copies(spark):
+    r = random.Random(12)
+    base = [f"v{r.randint(0, 10**6)}" for _ in range(500)]
+    rows = []
+    for i in range(120):  # members are about 0.75 to each other, the two of a pair 0.85
+        w = list(base)
+        for at in r.sample(range(60), 7):
+            w[8 * at] = f"x{i}-{at}"
+        rows.append((2 * i, " ".join(w)))
+        v = list(w)
+        for at in r.sample(range(60), 6):
+            v[8 * at + 4] = f"y{i}-{at}"
+        rows.append((2 * i + 1, " ".join(v)))
+    parent = list(range(len(rows)))
+    shingles = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(shingles[a] & shingles[b])
+            if both >= 0.8 * (len(shingles[a]) + len(shingles[b]) - both):
+                x, y = plain.find(parent, a), plain.find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    want = {plain.find(parent, i) for i in range(len(rows))}
+    kept = simhash.near_groups(table(spark, rows)).where("kept").collect()
+    assert {x["_key_id"] for x in kept} == want and len(want) > 1
+
+
 def test_similar_pairs_join_what_all_pairs_do():
     r = random.Random(8)
     sets = []
