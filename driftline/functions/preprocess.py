@@ -30,6 +30,11 @@ def time_of_day(text: Column) -> Column:
     return (p[0].cast("double") * 3600 + p[1].cast("double") * 60 + p[2].cast("double")) / F.lit(DAY_SCALE)
 
 
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Seconds from one timestamp to another, with their microseconds."""
+    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
+
+
 def flag_ordinal(text: Column) -> Column:
     """Place of the flag in FLAGS, divided by the last place; null for another text."""
     place = F.array_position(F.array(*[F.lit(f) for f in FLAGS]), text)

@@ -62,6 +62,15 @@ def running_rates(merged: DataFrame, initial: list[str], names: DataFrame | None
     return out.withColumns({f"{c}_rate": F.col(c) / total for c in ("hits", "misses", "unknowns")})
 
 
+def final_rates(merged: DataFrame, initial: list[str]) -> DataFrame:
+    """The last running rates, one row; without a pass in order, as only totals matter at the end."""
+    unknown = F.col("label") == UNKNOWN
+    hit = ~unknown & (F.col("label") == F.col("class"))
+    out = merged.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in (("hits", hit), ("misses", ~hit & ~unknown), ("unknowns", unknown))])
+    total = F.col("hits") + F.col("misses") + F.col("unknowns")
+    return out.withColumns({f"{c}_rate": F.when(total > 0, F.col(c) / total) for c in ("hits", "misses", "unknowns")})
+
+
 def onsets(matches: DataFrame) -> DataFrame:
     """First id of each label."""
     return matches.groupBy("label").agg(F.min("id").alias("first_id"))

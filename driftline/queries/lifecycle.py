@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import preprocess, vectors
-from ..operators import clustering, evaluate, nearest
+from ..functions import labels, preprocess, vectors
+from ..operators import clustering, evaluate, nearest, ordered
 from ..plans import novelty, training
 from ..schema import Params
 from ..scratch import cut, scratch_root
@@ -215,3 +215,26 @@ def without_fields(spark, sf_dir):
 @query(f"WITH {MATCHES} SELECT DISTINCT label FROM m WHERE label <> '-'")
 def distinct_labels(spark, sf_dir):
     return evaluate.known_labels(_matches(spark, sf_dir))
+
+
+@query(f"WITH {MATCHES}, l AS (SELECT DISTINCT label FROM m) SELECT label, (row_number() OVER (ORDER BY try_cast(label AS DOUBLE) IS NOT NULL, coalesce(try_cast(label AS DOUBLE), 0), label) - 1)::BIGINT AS place FROM l")
+def ordered_labels(spark, sf_dir):
+    found = _matches(spark, sf_dir).select("label").distinct()
+    return found.withColumn("place", (F.row_number().over(Window.orderBy(labels.order_of(F.col("label")))) - 1).cast("long"))
+
+
+@query(f"WITH {MATCHES}, s AS (SELECT count(*) FILTER (label <> '-' AND label = class) AS hits, count(*) FILTER (label <> '-' AND label <> class) AS misses, count(*) FILTER (label = '-') AS unknowns, count(*) AS n FROM m) SELECT hits, misses, unknowns, round(hits / n, 6) AS hits_rate, round(misses / n, 6) AS misses_rate, round(unknowns / n, 6) AS unknowns_rate FROM s")
+def final_rates(spark, sf_dir):
+    return evaluate.final_rates(_matches(spark, sf_dir), []).select("hits", "misses", "unknowns", r6("hits_rate"), r6("misses_rate"), r6("unknowns_rate"))
+
+
+@query("SELECT user_id, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 6) AS seconds FROM events GROUP BY user_id")
+def elapsed_by_user(spark, sf_dir):
+    ends = read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b"))
+    return ends.select("user_id", F.round(preprocess.elapsed_seconds(F.col("a"), F.col("b")), 6).alias("seconds"))
+
+
+@query("SELECT 0::BIGINT AS line, 'id,label' AS value UNION ALL SELECT row_number() OVER (ORDER BY vec_id), vec_id || ',' || label FROM embeddings")
+def header_and_rows(spark, sf_dir):
+    rows = ordered.sequence_ids(points(spark, sf_dir).select("id", F.concat_ws(",", F.col("id").cast("string"), "label").alias("value")), "id")
+    return formats.with_header(rows, "id,label", "seq")

@@ -120,6 +120,12 @@ def outputs(rows: DataFrame, mode: int) -> dict[str, DataFrame]:
     return {k: rows.where(F.col("kind") == k) for k in kinds}
 
 
+def with_header(rows: DataFrame, header: str, order: str) -> DataFrame:
+    """(line, value): a header and then the rows (value) in their order, which is a number from 0."""
+    first = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("line"), F.lit(header).alias("value"))
+    return first.unionByName(rows.select((F.col(order) + 1).cast("long").alias("line"), "value"))
+
+
 def interleave(*inputs: DataFrame) -> DataFrame:
     """Several inputs as one, with `source` numbering them."""
     out = inputs[0].withColumn("source", F.lit(0))
