@@ -69,10 +69,10 @@ def train_best_of(spark, sf_dir):
 
 def _sequential() -> str:
     parts = [
-        f"{ECU}",
+        ECU,
         "d AS (SELECT cid, list_distance(v, c) AS dist FROM e JOIN c ON label = clabel)",
         "w AS (SELECT cid, sqrt(sum((dist - m) ** 2)) AS dev FROM (SELECT cid, dist, avg(dist) OVER (PARTITION BY cid) AS m FROM d) GROUP BY cid)",
-        f"s0 AS MATERIALIZED (SELECT cid AS id, clabel AS label, c, dev FROM c JOIN w USING (cid) WHERE cid < {HELD_OUT})",
+        f"s0 AS MATERIALIZED (SELECT cid AS id, clabel AS label, c, dev FROM c JOIN w USING (cid) WHERE clabel::INT < {HELD_OUT})",
         f"q AS (SELECT id, (label::INT - {HELD_OUT}) * {GROUPS} + id % {GROUPS} AS cand, v FROM e WHERE label::INT >= {HELD_OUT})",
         "qc AS (SELECT cand, list(x ORDER BY d) AS c FROM (SELECT cand, d, avg(x) AS x FROM (SELECT cand, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM q) GROUP BY cand, d) GROUP BY cand)",
         "qd AS (SELECT cand, list_distance(v, c) AS dist FROM q JOIN qc USING (cand))",
