@@ -85,10 +85,17 @@ def extremes(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"lo_{c}").cast("double").alias("min"), F.col(f"hi_{c}").cast("double").alias("max")) for c in columns])))
 
 
+#: Columns that one_hot makes at most.
+MOST_VALUES = 10_000
+
+
 def one_hot(df: DataFrame, column: str, values: list[str] | None = None) -> DataFrame:
-    """df with one 0/1 column for each value, in alphabetical order; the values are those of the column if not given."""
+    """df with one 0/1 column for each value, in alphabetical order; the values are those of the column if not given,
+    and more than MOST_VALUES of them are an error."""
     if values is None:
-        values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+        values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_VALUES + 1).collect())
+        if len(values) > MOST_VALUES:
+            raise ValueError(f"more than {MOST_VALUES} values of {column}")
     return df.withColumns({f"{column}_{v}": (F.coalesce(F.col(column) == v, F.lit(False))).cast("int") for v in values})
 
 

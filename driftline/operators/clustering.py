@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..schema import CLUSTER, Params
-from .nearest import Model, matrix, one_nearest
+from .nearest import Model, matrix, one_nearest, sent
 from .ordered import sequence_ids
 
 # ---- starts
@@ -33,7 +33,7 @@ def seeds_spread(points: DataFrame, k: int, label: str = "label", id_col: str =
     ranked = sequence_ids(far, "_key", "_rank", ["_d", id_col], keys=[label])
     sizes = points.groupBy(label).agg(F.count("*").alias("_n"))
     step = F.greatest(F.floor(F.col("_n") / k), F.lit(1))
-    return ranked.join(F.broadcast(sizes), label).where((F.col("_rank") > 0) & (F.col("_rank") % step == 0)).withColumn("place", (F.col("_rank") / step - 1).cast("int")).where(F.col("place") < k).drop("_d", "_key", "_rank", "_n")
+    return ranked.join(sizes, label).where((F.col("_rank") > 0) & (F.col("_rank") % step == 0)).withColumn("place", (F.col("_rank") / step - 1).cast("int")).where(F.col("place") < k).drop("_d", "_key", "_rank", "_n")
 
 
 def seeds_farthest(points: DataFrame, k: int, id_col: str = "id", val_col: str = "val", measure: str = "euclidean") -> list[tuple[int, list[float]]]:
@@ -211,9 +211,9 @@ def statistics(assigned: DataFrame, keys: list[str], radius_f: float = 0.25, std
 
 def fill_empty(assigned: DataFrame, places: DataFrame) -> DataFrame:
     """(place, id) for each place without points: the point that lies nearest to it among all, as a filler. `places` is
-    (place, center), few rows."""
+    (place, center), few rows: more than MOST_SENT empty ones are an error."""
     empty = places.join(assigned.select("place").distinct(), "place", "left_anti")
-    crossed = assigned.select("id", "val").crossJoin(F.broadcast(empty))
+    crossed = assigned.select("id", "val").crossJoin(sent(empty))
     return crossed.groupBy("place").agg(F.min(F.struct(vectors.euclidean(F.col("val"), F.col("center")), F.col("id").alias("id"))).alias("m")).select("place", F.col("m.id").alias("id"))
 
 

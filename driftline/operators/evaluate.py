@@ -41,7 +41,7 @@ def assigned(cells: DataFrame, initial: list[str]) -> DataFrame:
 
 def summary(merged: DataFrame, names: DataFrame, n_matches: int, n_examples: int) -> DataFrame:
     """One row: hits, misses, unknowns, reprocessed, and the first three in % of the larger of matches and examples."""
-    joined = merged.join(F.broadcast(names.select("label", "assigned")), "label", "left")
+    joined = merged.join(names.select("label", "assigned"), "label", "left")
     unknown = F.col("label") == UNKNOWN
     hit = ~unknown & (F.col("assigned") == F.col("class"))
     out = joined.agg(F.count(F.when(hit, 1)).alias("hits"), F.count(F.when(~hit & ~unknown, 1)).alias("misses"), F.count(F.when(unknown, 1)).alias("unknowns"))
@@ -53,7 +53,7 @@ def running_rates(merged: DataFrame, initial: list[str], names: DataFrame | None
     """Rows with running hits, misses and unknowns in the order of id, and their shares so far."""
     stands: Column = F.col("label")
     if names is not None:
-        merged = merged.join(F.broadcast(names.select("label", "assigned")), "label", "left")
+        merged = merged.join(names.select("label", "assigned"), "label", "left")
         stands = F.coalesce("assigned", "label")
     unknown = F.col("label") == UNKNOWN
     hit = ~unknown & (stands == F.col("class"))

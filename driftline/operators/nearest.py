@@ -37,6 +37,18 @@ class Model:
         return len(self.ids)
 
 
+#: Clusters that are sent to every executor for a product, at most.
+MOST_SENT = 100_000
+
+
+def sent(clusters: DataFrame) -> DataFrame:
+    """clusters for a broadcast, after a check of their number."""
+    n = clusters.count()
+    if n > MOST_SENT:
+        raise ValueError(f"{n} clusters are too many to send to every executor")
+    return F.broadcast(clusters)
+
+
 def collect_model(df: DataFrame, skip_sleep: bool = False, group_col: str | None = None) -> Model:
     """The clusters in order of id. Columns id and center; label, radius, distance_stddev, is_sleep where present."""
     if skip_sleep and "is_sleep" in df.columns:
@@ -156,10 +168,7 @@ def classify(points: DataFrame, model: Model, val_col: str = "val", inside_only:
 
 def cross_distances(points: DataFrame, clusters: DataFrame, measure: str = "euclidean", val_col: str = "val") -> DataFrame:
     """(point columns, cluster_id, dist) for every pair: the full product with a checked, broadcast cluster table."""
-    n = clusters.count()
-    if n > 100_000:
-        raise ValueError(f"a product with {n} clusters is not to be made")
-    c = F.broadcast(clusters.select(F.col("id").alias("cluster_id"), F.col("center").alias("_c")))
+    c = sent(clusters.select(F.col("id").alias("cluster_id"), F.col("center").alias("_c")))
     return points.crossJoin(c).withColumn("dist", vectors.DISTANCES[measure](F.col(val_col), F.col("_c"))).drop("_c")
 
 
