@@ -78,19 +78,21 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 HOT_ROWS = 5000
 
 
-def matching(rows: DataFrame, counted: DataFrame, keys: list[str], row_bytes: int = 48) -> DataFrame:
-    """The rows whose keys are in counted (keys and n, their number of rows; a stable table).
+def matching(rows: DataFrame, counted: DataFrame, keys: list[str], row_bytes: int = 48, bring: tuple[str, ...] = ()) -> DataFrame:
+    """The rows whose keys are in counted (keys, each once, and n, their number of rows; a stable table), with the
+    columns to bring from there.
 
     counted is broadcast whole if its counted size is small. Otherwise only the keys of HOT_ROWS rows or more are, at
     most one for so many rows, and the others are shuffled: no task gets all rows of a hot key.
     """
+    how = "inner" if bring else "left_semi"
     total = counted.count()
     if total * row_bytes <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(counted.select(*keys)), keys, "left_semi")
-    hot = counted.where(F.col("n") >= HOT_ROWS).select(*keys)
+        return rows.join(F.broadcast(counted.select(*keys, *bring)), keys, how)
+    hot = counted.where(F.col("n") >= HOT_ROWS).select(*keys, *bring)
     hot = maybe_broadcast(hot, hot.count(), row_bytes)
-    rest = counted.where(F.col("n") < HOT_ROWS).select(*keys)
-    return rows.join(hot, keys, "left_semi").unionByName(rows.join(hot, keys, "left_anti").join(rest, keys, "left_semi"))
+    rest = counted.where(F.col("n") < HOT_ROWS).select(*keys, *bring)
+    return rows.join(hot, keys, how).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

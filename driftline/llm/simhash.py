@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import lexing as lx
 from .components import components
-from .shared import cut, delete, keep_rows, maybe_broadcast, release, text_batches
+from .shared import cut, delete, keep_rows, matching, maybe_broadcast, release, text_batches
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Fingerprints that a group should hold on average, at most.
@@ -554,8 +554,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         same = keep(components(links(different.select("_fp"), different.count(), SAMPLE_BITS)))
         sampled = samples.where("not _prefix").join(same.select(F.col("a").alias("_fp"), F.col("b").alias("_class")), "_fp", "left").select("_node", F.coalesce("_class", "_fp").alias("_class"))
         classed = held(sampled.union(samples.where("_prefix").select("_node", "_fp")).distinct())
-        hubs = classed.groupBy("_class").agg(F.min("_node").alias("_hub"), F.count("*").alias("_n")).where("_n > 1").select("_class", "_hub")
-        pairs = held(classed.join(hubs, "_class").where("_node <> _hub").select("_node", "_hub").distinct())
+        hubs = held(classed.groupBy("_class").agg(F.min("_node").alias("_hub"), F.count("*").alias("n")).where("n > 1"))
+        pairs = held(matching(classed, hubs, ["_class"], 32, ("_hub",)).where("_node <> _hub").select("_node", "_hub").distinct())
         delete(different)
         release(samples)
         ends = held(pairs.select("_node").union(pairs.select("_hub")).distinct())
@@ -564,8 +564,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = keep(components(both.mapInArrow(lx.trimmed(_similar(shingle, similarity)), "a bigint, b bigint")))
         members = held(_open_members(classed, groups).join(texts.select("_node", "_bytes"), "_node"))
         if not members.isEmpty():
-            blocks = members.groupBy("_class").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("_bytes") / BLOCK_BYTES)).cast("int").alias("_blocks"))
-            placed = members.join(blocks, "_class").withColumn("_side", F.expr("cast(pmod(xxhash64(_node, 1), _blocks) as int)")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+            blocks = held(members.groupBy("_class").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("_bytes") / BLOCK_BYTES)).cast("int").alias("_blocks"), F.count("*").alias("n")))
+            placed = matching(members, blocks, ["_class"], 32, ("_blocks",)).withColumn("_side", F.expr("cast(pmod(xxhash64(_node, 1), _blocks) as int)")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
             spread = placed.select("_class", F.least("_side", "_other").alias("_i"), F.greatest("_side", "_other").alias("_j"), "_side", "_node", "_root").join(texts.select("_node", "_t"), "_node")
             dealt = spread.select("_class", "_i", "_j", "_side", "_node", "_root", "_t").repartition("_class", "_i", "_j").sortWithinPartitions("_class", "_i", "_j")
             groups = keep(components(groups.union(dealt.mapInArrow(lx.trimmed(_links_inside(shingle, similarity)), "a bigint, b bigint"))))

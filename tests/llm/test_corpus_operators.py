@@ -886,6 +886,8 @@ def test_matching_rows(spark, monkeypatch, most):
     counted = shared.cut(rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 3"))
     got = shared.matching(rows, counted, ["k"])
     assert strings(got.collect()) == strings(rows.where("k <> 3").collect())
+    got = shared.matching(rows, counted.withColumn("c", F.col("k") * 2), ["k"], bring=("c",))
+    assert strings(got.select("k", "id", "c").collect()) == strings(rows.where("k <> 3").withColumn("c", F.col("k") * 2).collect())
 
 
 # ---- words
