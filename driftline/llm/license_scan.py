@@ -28,6 +28,8 @@ from .shared import text_batches
 #: Each known sentence holds one of these words or beginnings of words; a text without them has none.
 HINTS = tuple(h.encode() for h in "licen permission permitted redistribut warrant liable liability endorse domain spdx waived unencumbered misrepresented altered anyone version acknowledgement authorization obtain under cc0".split())
 _MARK = re.compile(r"(?<=[.!?;:])(?<!\b[Vv]\.)(?<!\bInc\.)(?<!\bLtd\.)(?<!\bCo\.)(?<!\bCorp\.)[\"')\]}”’]*\s+|\s*\n[^\S\n]*\n\s*|\s+(?=<?https?://)|(?<=\s)<?https?://\S+")
+#: Runs of spaces are one from the start, so that no pattern walks over them again and again.
+_SPACES = re.compile(r"[^\S\n]+")
 #: A comment's leader at the start of a line; a line of a leader alone is blank.
 _LEADER = re.compile(r"^[^\S\n]*(?:#+|//+|/?\*+/?|--+|;+|%+|>+|(?:dnl|REM)\b)", re.M)
 _SPDX = re.compile(r"spdx-licen[sc]e-identifier:[^\S\n]*", re.I)
@@ -37,6 +39,8 @@ _LIST = re.compile(r"^(?:[0-9]{1,2}|[a-hj-z]|i{1,3}|i?v|vi{0,3}) (?=[a-z])")
 #: Words that a reference's subject must not have: they make it something else than a grant.
 _REFERENCE = re.compile(r"^(?:except where otherwise noted )?(?:(?:this|the|our|all|these|it|its|content|contents|text|code) (?:(?!not |never |no |if |was |were |un)[a-z0-9]+ ){0,5}?)?(?:is |are |be )?(?:also |dual |free software |open source |freely )?(?:licensed|released|distributed|published|available|made available|provided|offered|shared) under (?:the terms (?:and conditions )?of )?(?:either |both |either of |one of )?(?:the |a |an )?(?P<name>.+?)(?: at your option)?$")
 _DROP = frozenset("the a an license licenses version v international unported generic terms of".split())
+#: Characters that the names of a reference take at most.
+MOST_NAMED = 400
 #: Lines that a sentence without end marks around it may take.
 LINES = 12
 
@@ -78,6 +82,8 @@ def _fits(words: str, parts: list[str]) -> bool:
 
 def _named(name: str) -> list[str] | None:
     """The licences that a reference names, or None if any is unknown."""
+    if len(name) > MOST_NAMED:
+        return None
     _, _, names, _, _ = _tables()
     later = re.search(r"(?: or (?:at your option )?(?:any )?(?:later|newer)(?: version)?| or above)$", name)
     core = name[: later.start()] if later else name
@@ -159,7 +165,7 @@ def _of_sentence(sentence: str) -> list[str]:
 
 def identifiers(text: str) -> list[str]:
     """The identifiers of a text's known sentences, in order."""
-    text = _LEADER.sub("", text.replace("\r\n", "\n"))
+    text = _LEADER.sub("", _SPACES.sub(" ", text.replace("\r\n", "\n")))
     out: list[str] = []
     at = 0
     for m in _SPDX.finditer(text):

@@ -303,6 +303,26 @@ def test_references():
         assert license_scan.licences(license_scan.identifiers(text))[0] == want, text
 
 
+@pytest.mark.parametrize("text", [" " * 300_000 + "licence", "\n" * 300_000 + "licence", " \n" * 200_000 + "licence", "Licensed under " + "MIT or " * 50_000 + "MIT.", "This " + "software " * 100_000 + "is licensed under the MIT License", "# " * 200_000 + "licence", "permission https://" * 50_000, "SPDX-License-Identifier: " + "(" * 100_000, "a. " * 200_000 + "licence"])
+def test_licence_scans_take_linear_time(text):
+    license_scan.identify("licensed under the mit license")
+    began = time.process_time()
+    license_scan.licences(license_scan.identifiers(text))
+    assert time.process_time() - began < 6
+
+
+def test_ranges_merge():
+    r = random.Random(1)
+    rows = [[(a, a + r.randint(1, 9)) for a in (r.randint(0, 60) for _ in range(r.randint(0, 9)))] for _ in range(50)]
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(range(50)), pa.array([[{"lo": a, "hi": b} for a, b in x] for x in rows], kind)], names=["_k", "_k2", "ranges"])
+    (out,) = substring_dedup._merge_ranges([batch])
+    for got, own in zip(out.column(2).to_pylist(), rows, strict=True):
+        covered = {k for a, b in own for k in range(a, b)}
+        assert {k for x in got for k in range(x["lo"], x["hi"])} == covered
+        assert all(x["hi"] < y["lo"] for x, y in zip(got, got[1:], strict=False))
+
+
 def test_spdx_expressions():
     for text, want in (("MIT */ Copyright 2020 Jane Doe", "MIT"), ("apache-2.0", "Apache-2.0"), ("(MIT OR apache-2.0) and GPL-2.0-only WITH Classpath-exception-2.0 -->", "(MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0"), ("MIT OR", "MIT"), ("(MIT", ""), ("", ""), ("OR MIT", ""), ("LicenseRef-Own.", "LicenseRef-Own")):
         assert license_scan.spdx(text) == want
