@@ -436,7 +436,7 @@ def stratified_split(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS seq FROM lineitem")
 def seq_id(spark, sf_dir):
-    return ordered.sequence_ids(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "seq", ["l_linenumber"], block=1000)
+    return ordered.sequence_ids(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "seq", ["l_linenumber"])
 
 
 @query('SELECT r // 100 AS "window", count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events) GROUP BY r // 100')
