@@ -11,9 +11,9 @@
    the greatest price: lengths that leave room become dearer and pick their partners first in the next round.
    Prices over the greatest price are a dual solution, so each round also proves a lower bound.
 4. Rounding: a use is a whole number of sequences from the start (a STEP of its scarcest length, at least one), so what
-   a round covers needs no more rounding. The last pieces, at most LAST of the sequences or one a length, are packed
-   longest first, each sequence filled by an exact subset-sum program. The round with the fewest sequences wins; rounds
-   end when a bound is met or nothing gets better.
+   a round covers needs no more rounding. The last pieces, at most LAST of the sequences or one a length, and those of
+   the emptiest REOPENED of the sequences, are packed longest first, each sequence filled by an exact subset-sum
+   program. The round with the fewest sequences wins; rounds end when a bound is met or nothing gets better.
 5. Pieces get ranks within their length, block by block, so that no task holds all pieces of one length; rank ranges
    map to (sequence, offset) through the plan, whose size depends on the histogram and not on the input.
 """
@@ -44,6 +44,8 @@ STEP, USES = 1 / 8, 96
 SLACK = (1e-2, 2e-3)
 #: Exponent by which a covered length gets cheaper, and the part of all sequences left to the last step.
 ETA, LAST = 0.1, 0.04
+#: Part of all sequences, those with most room, that the last step packs anew.
+REOPENED = 0.03
 #: Rounds end at this gap to the lower bound.
 GAP = 5e-4
 PIECES = "_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -154,6 +156,14 @@ def cover(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity:
             for j, a in mult.items():
                 left[open_[j]] -= a * times
             uses.append(([int(open_[j]) for j in config], times))
+    room = [capacity - int(lengths[config].sum()) for config, _ in uses]
+    reopened, n = set(), 0
+    for i in sorted(range(len(uses)), key=lambda i: -room[i]):
+        if room[i] and n + uses[i][1] <= REOPENED * total:
+            reopened.add(i)
+            n += uses[i][1]
+            np.add.at(left, uses[i][0], uses[i][1])
+    uses = [u for i, u in enumerate(uses) if i not in reopened]
     last, rest, sizes = [], left.tolist(), lengths.tolist()
     while any(rest):
         config = fill(sizes, rest, capacity)
