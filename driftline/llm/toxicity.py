@@ -106,6 +106,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> tuple[np.ndarra
     m1, m2 = np.zeros_like(vectors), np.zeros_like(vectors)
     w1, w2 = np.zeros_like(weights), np.zeros_like(weights)
     b1, b2 = np.zeros_like(bias), np.zeros_like(bias)
+    there, places = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int64)
     tick = 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(docs))
@@ -117,9 +118,15 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> tuple[np.ndarra
             words, place = np.unique(tokens, return_inverse=True)
             count = gram_bounds[words + 1] - gram_bounds[words]
             at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(gram_bounds[words], count)
-            used, slot = np.unique(grams[at], return_inverse=True)
+            own_grams = grams[at]
+            there[own_grams] = True
+            used = np.flatnonzero(there)
+            there[used] = False
+            places[used] = np.arange(len(used))
+            slot = places[own_grams]
             wb = np.concatenate([[0], np.cumsum(count)])
-            word_vec = _means(vectors[used][slot], wb)
+            own_vectors = vectors[used]
+            word_vec = _means(own_vectors[slot], wb)
             doc_vec = np.zeros((len(own), DIM), np.float32)
             for c in range(DIM):
                 doc_vec[:, c] = np.bincount(owner, weights=word_vec[place, c] * share, minlength=len(own))
@@ -136,10 +143,10 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 3) -> tuple[np.ndarra
                 g_gram[:, c] = np.bincount(slot, weights=np.repeat(g_word[:, c], count), minlength=len(used))
             tick += 1
             fix1, fix2 = 1 - 0.9**tick, 1 - 0.99**tick
-            g_gram += DECAY * vectors[used]
-            m1[used] = 0.9 * m1[used] + 0.1 * g_gram
-            m2[used] = 0.99 * m2[used] + 0.01 * g_gram**2
-            vectors[used] -= RATE * (m1[used] / fix1) / (np.sqrt(m2[used] / fix2) + 1e-6)
+            g_gram += DECAY * own_vectors
+            first, second = 0.9 * m1[used] + 0.1 * g_gram, 0.99 * m2[used] + 0.01 * g_gram**2
+            m1[used], m2[used] = first, second
+            vectors[used] = own_vectors - RATE * (first / fix1) / (np.sqrt(second / fix2) + 1e-6)
             for x, g, a, b in ((weights, SHARPNESS * doc_vec.T @ p, w1, w2), (bias, p.sum(axis=0), b1, b2)):
                 a[:] = 0.9 * a + 0.1 * g
                 b[:] = 0.99 * b + 0.01 * g**2
