@@ -15,7 +15,7 @@ from ..schema import Params
 from ..scratch import cut, scratch_root
 from ..sources import formats
 from ..streaming import parallel
-from .catalog import ECU, HELD_OUT, K, MATCHES, NEAR, SQL, _checkpoint, _lloyd, _matches, _stream, centroids, points, query, r6, read
+from .catalog import ECU, HELD_OUT, K, MATCHES, NEAR, SQL, _checkpoint, _lloyd, _matches, _stream, _together, centroids, points, query, r6, read
 
 NOVELTY_F, GROUPS = 1.4, 4
 INSIDE = 0.85
@@ -192,14 +192,11 @@ def late_model_stream(spark, sf_dir):
     spread = p.join(F.broadcast(c.select("label", "center")), "label").withColumn("dist", vectors.euclidean(F.col("val"), F.col("center")))
     model = cut(c.join(spread.groupBy("label").agg((F.sqrt(F.var_pop("dist")) * 3 + 0.5).alias("radius")), "label"))
     rows: list[DataFrame] = []
-    late = parallel.LateModel(spark, 10, lambda df, _: rows.append(cut(df.select("id", "cluster_id", r6("dist"), "label"))))
+    late = parallel.LateModel(spark, max(1, model.count()), lambda df, _: rows.append(cut(df.select("id", "cluster_id", r6("dist"), "label"))))
     late.add(model.where("id < 4"))
     parallel.start(_stream(spark, sf_dir), late, _checkpoint(spark)).awaitTermination()
     late.add(model)
-    out = rows[0]
-    for x in rows[1:]:
-        out = out.unionByName(x)
-    return out
+    return _together(spark, rows, "id bigint, cluster_id bigint, dist double, label string")
 
 
 # ---- fields and labels

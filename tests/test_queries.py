@@ -38,3 +38,22 @@ def test_stream_equals_replay(spark):
     cols = ["kind", "id", "label", "dist", "cluster_id"]
     rows = lambda n: sorted(map(str, QUERIES[n](spark, DIR).select(*cols).collect()))
     assert rows("streaming_exact") == rows("online_replay")
+
+
+@pytest.fixture(scope="module")
+def foldered(spark, tmp_path_factory):
+    """The tables with embeddings as a folder of part files."""
+    root = tmp_path_factory.mktemp("foldered")
+    spark.read.parquet(f"{DIR}/embeddings.parquet").repartition(3).write.parquet(f"{root}/embeddings.parquet")
+    return str(root)
+
+
+def test_a_late_model_takes_a_folder_of_parts(spark, duck, foldered):
+    got = QUERIES["late_model_stream"](spark, foldered).select("id", "cluster_id", "dist", "label").collect()
+    assert sorted(map(tuple, got)) == sorted(duck.execute(SQL["late_model_stream"]).fetchall())
+
+
+def test_a_late_model_may_have_few_labels(spark, tmp_path):
+    spark.read.parquet(f"{DIR}/embeddings.parquet").where("label < 6").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = (sorted(map(str, QUERIES[n](spark, str(tmp_path)).select("id", "cluster_id", "dist", "label").collect())) for n in ("late_model_stream", "nearest_centroid"))
+    assert got == want and got
