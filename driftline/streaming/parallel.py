@@ -16,11 +16,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.nearest import Model, classify, collect_model, one_nearest
+from ..operators.nearest import Model, classify, collect_model
 from ..plans.novelty import State, initial_state
 from ..schema import OUTPUT, UNKNOWN, Params
 from ..scratch import cut, scratch_root
 
+#: Rows of the driver's machine that are written at once.
+PART = 10_000
+
 
 class ParallelDetector:
     """foreachBatch handler. sink(rows, batch_id) gets a DataFrame of schema.OUTPUT for each batch."""
@@ -40,21 +43,23 @@ class ParallelDetector:
         self.state = pickle.loads(bytes(self.spark.read.parquet(f"{self.path}/{batch_id}").first()["blob"]))
         self.done = batch_id - 1
 
-    def _detect(self, missed: DataFrame, began: int) -> list[tuple]:
+    def _detect(self, missed: DataFrame, began: int) -> list[DataFrame]:
         """Take all unknowns in order of id, a round whenever the exact machine would run one, as of that id. Those that a
-        cluster of an earlier round of this batch holds are reclassified instead of kept (identify_first)."""
+        cluster of an earlier round of this batch holds are reclassified instead of kept (identify_first). Rows beyond
+        PART go to the shared folder, so the driver holds no more of them."""
         s, p = self.state, self.p
         end, latest, known = s.cur, s.latest.copy(), len(s)
         rows: list[tuple] = []
         part: list = []
+        out: list[DataFrame] = []
 
         def take() -> None:
             s.cur = max(began, part[-1]["id"])
             ids, vals = np.array([r["id"] for r in part], np.int64), np.array([r["val"] for r in part], float)
             part.clear()
             if p.identify_first and len(s) > known:  # clusters that the executors did not have yet
-                near, squared = one_nearest(vals, s.centers[known:])
-                place, dist = known + near, np.sqrt(squared)
+                place, squared = s.nearest(vals, first=known)
+                dist = np.sqrt(squared)
                 inside = dist <= s.radius[place]
                 np.add.at(s.n_matches, place[inside], 1)
                 np.maximum.at(s.latest, place[inside], ids[inside])
@@ -69,11 +74,14 @@ class ParallelDetector:
             part.append(r)
             if len(s.unknown_ids) + len(part) >= min(p.trigger_size, p.buffer_size):
                 take()
+            if len(rows) >= PART:
+                out.append(cut(self.spark.createDataFrame(rows, OUTPUT)))
+                rows.clear()
         if part:
             take()
         s.cur = end
         s.latest[: len(latest)] = np.maximum(s.latest[: len(latest)], latest)
-        return rows
+        return [*out, self.spark.createDataFrame(rows, OUTPUT)] if rows else out
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.done:  # a repeated batch: back to where it began
@@ -94,12 +102,12 @@ class ParallelDetector:
             s.latest[c] = max(s.latest[c], r["latest"])
             s.cur = max(s.cur, r["latest"])
         s.fall_asleep()
-        rows = self._detect(placed.where(F.col("label") == UNKNOWN).orderBy("id").select("id", "val"), began)
+        found = self._detect(placed.where(F.col("label") == UNKNOWN).orderBy("id").select("id", "val"), began)
         match = placed.select(F.lit("match").alias("kind"), "id", "label", "dist", "cluster_id", F.lit(None).cast("array<double>").alias("val"))
         unknown = placed.where(F.col("label") == UNKNOWN).select(F.lit("unknown").alias("kind"), "id", "label", "dist", "cluster_id", "val")
         out = match.unionByName(unknown)
-        if rows:
-            out = out.unionByName(self.spark.createDataFrame(rows, OUTPUT))
+        for more in found:
+            out = out.unionByName(more)
         self.sink(out, batch_id)
         placed.unpersist()
         self.done = batch_id

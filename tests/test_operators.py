@@ -396,3 +396,16 @@ def test_an_event_does_not_compare_its_block_anew(monkeypatch):
     rows = list(s.step(x))
     assert sum(r[0] == "cluster" for r in rows) > 300
     assert pairs[0] <= 2 * len(x) * len(s)
+
+
+def test_rows_of_a_batch_are_written_in_parts(spark, monkeypatch):
+    p = Params(k=2, min_examples=3, trigger=10, radius_f=1.0, stddev_mode="population")
+    model = spark.createDataFrame([(0, "A", [0.0], 0.5, 0.1)], "id long, label string, center array<double>, radius double, distance_stddev double")
+    pts = spark.createDataFrame([(i, [float(20 + i % 7)]) for i in range(90)], "id long, val array<double>")
+    got = []
+    for part in (parallel.PART, 5):
+        monkeypatch.setattr(parallel, "PART", part)
+        rows = []
+        parallel.ParallelDetector(spark, model, p, lambda df, _, rows=rows: rows.extend(map(str, df.collect())), state_path=f"{spark.conf.get('spark.checkpoint.dir')}/parts-{part}")(pts, 0)
+        got.append(sorted(rows))
+    assert got[0] == got[1] and len(got[0]) > 180

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from driftline.queries import QUERIES, SQL
+from driftline.queries import QUERIES, SQL, catalog
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
@@ -57,3 +57,21 @@ def test_a_late_model_may_have_few_labels(spark, tmp_path):
     spark.read.parquet(f"{DIR}/embeddings.parquet").where("label < 6").write.parquet(f"{tmp_path}/embeddings.parquet")
     got, want = (sorted(map(str, QUERIES[n](spark, str(tmp_path)).select("id", "cluster_id", "dist", "label").collect())) for n in ("late_model_stream", "nearest_centroid"))
     assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["streaming_parallel", "streaming_exact"])
+def test_a_stream_takes_a_folder_of_parts(spark, foldered, name):
+    cols = ["kind", "id", "label", "dist", "cluster_id"]
+    got, want = (sorted(map(str, QUERIES[name](spark, d).select(*cols).collect())) for d in (foldered, DIR))
+    assert got == want and got
+
+
+def test_a_stream_without_rows_has_no_result_rows(spark, monkeypatch):
+    stream = catalog._stream
+    monkeypatch.setattr(catalog, "_stream", lambda spark, d: stream(spark, f"{d}/none"))
+    monkeypatch.setattr(catalog, "_is_folder", lambda spark, d: True)
+    empty = spark.conf.get("spark.checkpoint.dir") + "/empty/none/embeddings.parquet"
+    spark.read.parquet(f"{DIR}/embeddings.parquet").limit(0).coalesce(1).write.mode("overwrite").parquet(empty)
+    monkeypatch.setattr(catalog, "points", lambda spark, d, points=catalog.points: points(spark, DIR))
+    got = QUERIES["streaming_parallel"](spark, empty.removesuffix("/none/embeddings.parquet"))
+    assert got.columns == ["kind", "id", "label", "dist", "cluster_id"] and got.count() == 0
